@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, written
+from ._common import let, slices, softmax, written
 
 LANGS = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -95,11 +95,6 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, among: tuple[str, ..
     return [t for t, _ in out], [lang for _, lang in out]
 
 
-def _softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-
-
 def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
@@ -119,8 +114,7 @@ def _sums(rows: DataFrame, keys: list[str], langs: tuple[str, ...], name: str) -
 
 
 def _smoothed(counts: Column, below: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, below, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH))
+    return let(F.aggregate(counts, F.lit(0.0), lambda a, b: a + b), lambda total: F.zip_with(counts, below, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH)))
 
 
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, out: str = "lang_") -> DataFrame:
@@ -141,7 +135,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         f"{out}hints": _plus(_hint(F.lower(F.substring(declared.cast("string"), 1, 2)), langs, DECLARED), F.when(F.size(parts) > 1, _hint(F.try_element_at(country, suffix), langs, SUFFIX)).otherwise(_zeros(langs))),
         f"{out}key": F.coalesce(name, F.lit("")),
     })
-    post = _softmax(_plus(F.col(f"{out}text"), F.col(f"{out}hints")))
+    post = softmax(_plus(F.col(f"{out}text"), F.col(f"{out}hints")))
     seen = written(base.select(F.col(f"{out}key").alias("_key"), post.alias("_p")).select("_key", *[F.col("_p")[j].alias(f"_c{j}") for j in range(len(langs))])
                    .groupBy("_key").agg(F.count("*").alias("_n"), *[F.sum(f"_c{j}").alias(f"_c{j}") for j in range(len(langs))]), "hosts")
     seen = seen.withColumn("_parts", F.split("_key", r"\.")).withColumns({"_suffix": F.element_at("_parts", -1), "_domain": F.concat_ws(".", F.slice("_parts", F.greatest(F.size("_parts") - 1, F.lit(1)), 2))})
@@ -159,7 +153,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         fused = base.withColumn("_row_salt", salt).join(salted, (F.col(f"{out}key") == F.col("_key")) & (F.col("_row_salt") == F.col("_salt")), "left")
     known = F.exists(_plus(F.col(f"{out}text"), F.col(f"{out}hints")), lambda x: x != 0)
     prior = F.when(F.col(f"{out}key") == "", _zeros(langs)).otherwise(F.transform(f"{out}host", lambda v: F.log(v)))
-    fused = fused.withColumn(f"{out}posterior", _softmax(_plus(_plus(F.col(f"{out}text"), F.col(f"{out}hints")), prior)))
+    fused = fused.withColumn(f"{out}posterior", softmax(_plus(_plus(F.col(f"{out}text"), F.col(f"{out}hints")), prior)))
     best = lambda x: F.element_at(F.array(*map(F.lit, langs)), F.array_position(x, F.array_max(x)).cast("int"))
     fused = fused.withColumns({
         f"{out}id": F.when(known | (F.col(f"{out}key") != ""), best(F.col(f"{out}posterior"))),

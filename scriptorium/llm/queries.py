@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_class, queries_text
+from . import queries_class, queries_scan, queries_text
 
-MODULES = (queries_text, queries_class)
+MODULES = (queries_text, queries_class, queries_scan)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
