@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_class, queries_scan, queries_text, queries_vectors
+from . import queries_class, queries_join, queries_scan, queries_text, queries_vectors
 
-MODULES = (queries_text, queries_class, queries_scan, queries_vectors)
+MODULES = (queries_text, queries_class, queries_join, queries_scan, queries_vectors)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
