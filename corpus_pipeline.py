@@ -1,10 +1,49 @@
-"""A corpus pipeline over ``documents``: language, quality, near-duplicates, packing."""
+"""A corpus pipeline over ``documents``: language, quality, near-duplicates, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of ``documents``. Null ids, null texts and repeated rows pass through each stage as its
+operator defines; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import jaccard, language, packing_concat, quality
+
+#: A document's language must be at least so sure.
+SURE = 0.5
+#: A document's score must be at least this.
+GOOD = 0.7
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letters to tell a language by, or no language surer than SURE."""
+    model = language.fit(*language.training_rows(docs))
+    found = language.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), out="_language_")
+    return found.where(F.col("_language_text_id").isNotNull() & (F.col("_language_confidence") >= SURE)).select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that score under GOOD."""
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="_quality_score")
+    return scored.where(F.col("_quality_score") >= GOOD).select(*docs.columns)
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return jaccard.distinct(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences of 1024 ids."""
+    return packing_concat.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [("language ID", language_stage), ("quality classifier", quality_stage), ("n-gram Jaccard join", duplicates_stage), ("packing", packing_stage)]
+#: Trained models and tokenizers decide, which SQL can't express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

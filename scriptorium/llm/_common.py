@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, ``name`` where it can be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to ``limit`` at most (one item may exceed it)."""
     start = total = end = 0

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, slices, written
+from ._common import fresh, mix, slices, written
 from ._graph import Union, components
 from ._words import shingles, words
 
@@ -306,3 +306,42 @@ def join(docs: DataFrame) -> DataFrame:
     found = written(classes(docs), "classes")
     lowest = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return found.join(lowest, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: Ids that are broadcast, at most; above that the join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: one with the component's smallest id, or, where no row of
+    it has an id, any one. Rows without words all stay."""
+    name = fresh(docs, "_id")
+    found = written(classes(docs), "classes").where("n_shingles > 0")
+    lowest = found.groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    placed = written(found.join(lowest, "component").select("doc_id", "component", "lowest", "sig"), "placed")
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    known = rows.where(worded & F.col(name).isNotNull())
+    gone = placed.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("lowest")).alias("first")).where("doc_id is not null and not first").select(F.col("doc_id").alias(name))
+    kept = known.join(_bounded(gone), name, "left_anti")
+    repeated = written(placed.where("doc_id = lowest").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated")
+    if not repeated.isEmpty():
+        few = _bounded(repeated)
+        kept = kept.join(few, name, "left_anti").unionByName(kept.join(few, name, "left_semi").dropDuplicates([name]))
+    out = kept.drop(name).unionByName(docs.where(~worded))
+    nameless = placed.where("lowest is null").groupBy("sig").agg(F.first("component").alias("component"))
+    if not nameless.isEmpty():
+        of, group = fresh(docs, "_sig"), fresh(docs, "_component")
+
+        @F.pandas_udf("long")
+        def sign(texts: pd.Series) -> pd.Series:
+            return pd.Series([signature(own) for own in shingles(words(texts.tolist()))], dtype="int64")
+
+        extra = rows.where(worded & F.col(name).isNull()).withColumn(of, sign(F.col("text").cast("string")))
+        extra = extra.join(nameless.select(F.col("sig").alias(of), F.col("component").alias(group)), of).dropDuplicates([group])
+        out = out.unionByName(extra.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out

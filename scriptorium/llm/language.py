@@ -144,13 +144,13 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     top = F.array(*[F.lit(float(x)) for x in top / top.sum()])
     suffixes = _sums(seen, ["_suffix"], langs, "_cs").select("_suffix", _smoothed(F.col("_cs"), top).alias("_ps"))
     domains = _sums(seen, ["_suffix", "_domain"], langs, "_cd").join(suffixes, "_suffix").select("_domain", _smoothed(F.col("_cd"), F.col("_ps")).alias("_pd"))
-    priors = seen.join(domains, "_domain").select("_key", _smoothed(F.array(*[F.col(f"_c{j}") for j in range(len(langs))]), F.col("_pd")).alias(f"{out}host"))
+    priors = seen.join(domains, "_domain").select(F.col("_key").alias(f"{out}of"), _smoothed(F.array(*[F.col(f"_c{j}") for j in range(len(langs))]), F.col("_pd")).alias(f"{out}host"))
     if seen.count() <= BROADCAST_HOSTS:
-        fused = base.join(F.broadcast(priors), F.col(f"{out}key") == F.col("_key"), "left")
+        fused = base.join(F.broadcast(priors), F.col(f"{out}key") == F.col(f"{out}of"), "left")
     else:
-        salted = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = priors.withColumn(f"{out}with", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-        fused = base.withColumn("_row_salt", salt).join(salted, (F.col(f"{out}key") == F.col("_key")) & (F.col("_row_salt") == F.col("_salt")), "left")
+        fused = base.withColumn(f"{out}salt", salt).join(salted, (F.col(f"{out}key") == F.col(f"{out}of")) & (F.col(f"{out}salt") == F.col(f"{out}with")), "left")
     known = F.exists(_plus(F.col(f"{out}text"), F.col(f"{out}hints")), lambda x: x != 0)
     prior = F.when(F.col(f"{out}key") == "", _zeros(langs)).otherwise(F.transform(f"{out}host", lambda v: F.log(v)))
     fused = fused.withColumn(f"{out}posterior", softmax(_plus(_plus(F.col(f"{out}text"), F.col(f"{out}hints")), prior)))

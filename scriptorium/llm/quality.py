@@ -154,16 +154,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score in a column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(texts.tolist()))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    return scored(docs, fit(*training_rows(docs, labels, rows)))
+def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
+    return scored(docs, fit(*training_rows(docs, labels, rows)), name)
