@@ -127,11 +127,13 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Documents as they are; of a bucket, how many of each text's prints another text has."""
-    keep = ["kind", "doc_id", "n", "sig", "chunk", "idx", "own"]
+    """Documents as they are; of a bucket, how many of each text's prints another text has: one row a chunk,
+    with the texts' numbers and their counts packed."""
+    keep = ["kind", "doc_id", "n", "sig", "chunk", "idx", "own", "owners", "counts"]
     packed = frame[frame["kind"] == 1]
+    documents = frame[frame["kind"] == 0].reindex(columns=keep)
     if not len(packed):
-        return frame[keep]
+        return documents
     prints = np.concatenate([np.ascontiguousarray(np.frombuffer(p, dtype=np.uint8).reshape(4, -1)[::-1].T).view(np.uint32).ravel() for p in packed["prints"]])
     owners = np.concatenate([np.frombuffer(o, dtype=np.uint16) for o in packed["owners"]])
     source = np.repeat(np.arange(len(packed)), [len(o) // 2 for o in packed["owners"]])
@@ -141,8 +143,19 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     hit = order[shared]
     hit = hit[owners[hit] != WITNESS]
     code, count = np.unique(source[hit] * 65536 + owners[hit], return_counts=True)
-    out = pd.DataFrame({"kind": np.int32(1), "chunk": packed["chunk"].to_numpy()[code // 65536], "idx": (code % 65536).astype(np.int32), "own": count})
-    return pd.concat((frame[frame["kind"] == 0][keep], out.reindex(columns=keep)))
+    cuts = np.searchsorted(code, np.arange(len(packed) + 1) * 65536)
+    found = [(c, (code[a:b] % 65536).astype(np.uint16).tobytes(), count[a:b].astype(np.uint32).tobytes()) for c, a, b in zip(packed["chunk"], cuts[:-1], cuts[1:], strict=True) if b > a]
+    out = pd.DataFrame(found, columns=["chunk", "owners", "counts"]).assign(kind=np.int32(1))
+    return pd.concat((documents, out.reindex(columns=keep)))
+
+
+def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """All of a chunk's counts."""
+    total = np.zeros(WITNESS + 1, dtype=np.int64)
+    for owners, counts in zip(frame["owners"], frame["counts"], strict=True):
+        total[np.frombuffer(owners, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
+    idx = np.flatnonzero(total)
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[0], "idx": idx.astype(np.int32), "more": total[idx]})
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -280,9 +293,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sig and component (of signatures): a row for each of ``docs``."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(8, -(-int(size) // (BYTES_A_SHINGLE * BUCKET_SHINGLES)))
-    met = written(_scan(docs, buckets).groupBy("bucket").applyInPandas(_meet, "kind int, doc_id long, n long, sig long, chunk long, idx int, own long"), "met")
+    met = written(_scan(docs, buckets).groupBy("bucket").applyInPandas(_meet, "kind int, doc_id long, n long, sig long, chunk long, idx int, own long, owners binary, counts binary"), "met")
     rows = met.where("kind = 0").select("doc_id", "n", "sig", "chunk", "idx", "own")
-    counts = met.where("kind = 1").groupBy("chunk", "idx").agg(F.sum("own").alias("more"))
+    counts = met.where("kind = 1").select("chunk", "owners", "counts").groupBy("chunk").applyInPandas(_add_up, "chunk long, idx int, more long")
     texts = rows.where("n > 0").groupBy("chunk", "idx").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("own").alias("own"))
     wanted = texts.join(counts, ["chunk", "idx"], "left").where(4 * (F.col("own") + F.coalesce("more", F.lit(0))) >= 3 * F.col("n")).select("sig")
     sets = written(_fetch(docs, wanted), "sets")
