@@ -20,8 +20,8 @@ OTHER, LETTER, NUMBER, SPACE, ODD = 0, 1, 2, 3, 4
 #: White_Space code points.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 PLAIN = 0x2100
-CHARS_A_SLICE = 1 << 20
-MOST_KEPT = 2_000_000
+CHARS_A_SLICE = 1 << 19
+MOST_KEPT = 750_000
 
 
 def _classes() -> np.ndarray:

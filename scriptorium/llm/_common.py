@@ -54,6 +54,13 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def small(batches: Iterable, rows: int = 500) -> Iterator:
+    """Arrow batches of few rows, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)

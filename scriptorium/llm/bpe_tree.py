@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import SPACES, BatchBPE, encoder
+from ._common import small
 
 LEAF_CHARS = 4096
 LEAF_IDS = 8192
@@ -113,13 +114,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, leaf: int = LEAF_CH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                ids = encode_all([t or "" for t in some.column(1).to_pylist()], bpe, leaf)
-                yield pa.record_batch(
-                    [some.column(0), pa.array([len(x) for x in ids], type=pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], type=pa.binary()), pa.array([decode(x, bpe.pieces) for x in ids], type=pa.binary())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for some in small(batches):
+            ids = encode_all([t or "" for t in some.column(1).to_pylist()], bpe, leaf)
+            yield pa.record_batch(
+                [some.column(0), pa.array([len(x) for x in ids], type=pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], type=pa.binary()), pa.array([decode(x, bpe.pieces) for x in ids], type=pa.binary())],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

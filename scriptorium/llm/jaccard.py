@@ -32,19 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, mix, slices, written
+from ._common import fresh, mix, slices, small, written
 from ._graph import Union, components
 from ._words import shingles, words
 
-CHARS = 1 << 21
+CHARS = 1 << 19
 #: Shingles that a task sums up before it sends them, and texts at most (their numbers are 16-bit).
-CHUNK_SHINGLES, CHUNK_TEXTS = 1_500_000, 60_000
+CHUNK_SHINGLES, CHUNK_TEXTS = 1_000_000, 60_000
 #: Shingles that one call looks at, about.
 BUCKET_SHINGLES = 1_000_000
 #: Bytes of text to one shingle, at least, for the number of buckets.
 BYTES_A_SHINGLE = 5
 WITNESS = 65_535
-GROUP, CALL_SETS = 256, 2_000
+GROUP, CALL_SETS = 256, 1_000
 BITS = 1 << 26
 SCANNED = "kind int, bucket long, doc_id long, n long, sig long, chunk long, idx int, own long, prints binary, owners binary"
 
@@ -106,7 +106,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
             held = 0
             return pa.RecordBatch.from_pylist(records, schema=schema)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, own in _sets(batch):
                 sig = signature(own)
                 idx = -1
@@ -170,7 +170,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for _, own in _sets(batch):
                 sig = signature(own)
@@ -235,7 +235,7 @@ def _grouped_links(sets: DataFrame, key: Column, salt: int) -> DataFrame:
 
 def _open_shingles(sets: DataFrame) -> DataFrame:
     """Sets (sig, n, comp, tokens) of which three quarters lie in other components, with those shingles only
-    and, for each, how many components hold it."""
+    and, for each, how many sets hold it."""
     def explode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             own = [np.frombuffer(t, dtype=np.int64) for t in batch.column(3).to_pylist()]
@@ -247,8 +247,8 @@ def _open_shingles(sets: DataFrame) -> DataFrame:
                 yield pa.record_batch([*(batch.column(c).take(row) for c in range(3)), pa.array(np.concatenate(some))], names=["sig", "n", "comp", "t"])
 
     rows = sets.select("sig", "n", "comp", "tokens").mapInArrow(explode, "sig long, n long, comp long, t long")
-    among = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("comps")).where("lo < hi").select("t", "comps")
-    back = rows.join(among, "t").groupBy("sig").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("comps", "t")).alias("open"))
+    among = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where("lo < hi").select("t", "sets")
+    back = rows.join(among, "t").groupBy("sig").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("sets", "t")).alias("open"))
     return back.where(4 * F.size("open") >= 3 * F.col("n"))
 
 

@@ -29,7 +29,7 @@ BUCKETS = 1 << 14
 SAMPLE_ROWS = 1500
 #: Trigrams a text counts for, at most.
 WEIGHT = 60.0
-CHARS = 1 << 21
+CHARS = 1 << 19
 #: Groups of the smoothing weigh as much as so many rows.
 STRENGTH = 5.0
 #: Hosts whose priors are broadcast, at most; above that a salted join takes over.

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
+from ._common import small
 
 SEQUENCES = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, seg_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
-BUFFER_TOKENS = 4_000_000
+BUFFER_TOKENS = 2_000_000
 
 
 class CapacityTree:
@@ -109,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = 1024, end_
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc, x in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist()), strict=True):
                 names.append(doc)
                 ids.append(np.concatenate((x, closing)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
-from ._common import written
+from ._common import small, written
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, opens boolean, closes boolean"
 
@@ -31,7 +31,7 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, upto = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches):
             ids = [np.concatenate((x, closing)) for x in bpe.encode(batch.column(1).to_pylist())]
             n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             starts = upto + np.cumsum(n) - n
@@ -58,9 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = 1024, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches):
             n = batch.column(3).to_numpy()
             begin = np.array([base[p] for p in batch.column(1).to_pylist()], dtype=np.int64) + batch.column(2).to_numpy()
             first, pieces = begin // length, (begin + n - 1) // length - begin // length + 1

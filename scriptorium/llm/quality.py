@@ -29,7 +29,7 @@ HIDDEN = 24
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 8000
 ECHO = np.uint64(0x1D8E4E27C47D124F)
-CHARS = 1 << 21
+CHARS = 1 << 19
 
 
 def index_vectors(terms: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -83,8 +83,8 @@ def pooled(texts: list[str | None], context: np.ndarray) -> np.ndarray:
     if len(w.words):
         row = (w.words % np.uint64(ROWS)).astype(np.int64)
         full = np.flatnonzero(np.diff(w.first))
-        for a in range(0, len(full), 256):
-            some = full[a : a + 256]
+        for a in range(0, len(full), 64):
+            some = full[a : a + 64]
             lo, hi = w.first[some[0]], w.first[some[-1] + 1]
             mine[some] = np.add.reduceat(context[row[lo:hi]], w.first[some] - lo, axis=0, dtype=np.float32)
     return np.hstack((shape, mine / n))
