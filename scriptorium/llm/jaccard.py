@@ -40,11 +40,11 @@ CHARS = 1 << 19
 #: Shingles that a task sums up before it sends them, and texts at most (their numbers are 16-bit).
 CHUNK_SHINGLES, CHUNK_TEXTS = 1_000_000, 60_000
 #: Shingles that one call looks at, about.
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 500_000
 #: Bytes of text to one shingle, at least, for the number of buckets.
 BYTES_A_SHINGLE = 5
 WITNESS = 65_535
-GROUP, CALL_SETS = 256, 1_000
+GROUP, CALL_SETS, ASKING = 256, 1_000, 512
 BITS = 1 << 26
 SCANNED = "kind int, bucket long, doc_id long, n long, sig long, chunk long, idx int, own long, prints binary, owners binary"
 
@@ -239,11 +239,9 @@ def _open_shingles(sets: DataFrame) -> DataFrame:
     def explode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             own = [np.frombuffer(t, dtype=np.int64) for t in batch.column(3).to_pylist()]
-            for lo in range(0, len(own), 200):
-                some = own[lo : lo + 200]
-                if not some:
-                    continue
-                row = pa.array(np.repeat(np.arange(lo, lo + len(some)), [len(x) for x in some]))
+            for lo, hi in slices(map(len, own), 50_000):
+                some = own[lo:hi]
+                row = pa.array(np.repeat(np.arange(lo, hi), [len(x) for x in some]))
                 yield pa.record_batch([*(batch.column(c).take(row) for c in range(3)), pa.array(np.concatenate(some))], names=["sig", "n", "comp", "t"])
 
     rows = sets.select("sig", "n", "comp", "tokens").mapInArrow(explode, "sig long, n long, comp long, t long")
@@ -257,36 +255,42 @@ def _with_components(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _exact_links(left: DataFrame) -> DataFrame:
-    """All links between different components among the sets of ``left`` (see _open_shingles)."""
+    """Links between different components among the sets of ``left`` (see _open_shingles), as many as join what is linked.
+
+    Groups are of similar sets, whatever their components, so that they are few for many sets alike."""
     need = F.ceil(3 * F.col("n") / 4).cast("int")
-    sets = left.withColumn("open", F.array_sort("open")).withColumn("prefix", F.slice("open", 1, F.size("open") - need + 1))
-    sizes = sets.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("subs"))
-    sets = written(sets.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("subs")).cast("int")).drop("subs"), "left")
-    column = sets.select("comp", "sub", F.explode("open.t").alias("t")).distinct()
-    asked = sets.select("sig", F.col("comp").alias("own"), F.explode("prefix.t").alias("t"))
-    near = asked.join(column, "t").where("comp <> own").select("sig", "comp", "sub").distinct()
-    queries = written(near.join(sets.select("sig", "n", "open.t"), "sig").select("comp", "sub", "sig", "n", "t"), "queries")
+    sets = left.withColumn("open", F.array_sort("open")).withColumn("prefix", F.slice("open", 1, F.size("open") - need + 1)).withColumn("key", F.array_min("open.t"))
+    sizes = sets.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("subs"))
+    sets = written(sets.join(sizes, "key").withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("subs")).cast("int")).drop("subs"), "left")
+    column = sets.select("key", "sub", F.explode("open.t").alias("t")).distinct()
+    asked = sets.select("sig", F.explode("prefix.t").alias("t"))
+    near = written(asked.join(column, "t").select("sig", "key", "sub").distinct(), "near")
+    # A group that many sets ask for is opened once for each part of them, so that a call is bounded.
+    parts = near.groupBy("key", "sub").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+    dealt = near.join(parts, ["key", "sub"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
+    queries = written(dealt.join(sets.select("sig", "n", "comp", "open.t"), "sig").select("key", "sub", "part", "sig", "n", "comp", "t"), "queries")
 
     def opened(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        a: list[int] = []
-        b: list[int] = []
+        edges: list[tuple[int, int]] = []
         if len(queries) and len(members):
             own = [np.array(t, dtype=np.int64) for t in members["t"]]
             tokens, owner = _postings(own)
             column, n, sig = np.unique(tokens), members["n"].to_numpy(), members["sig"].to_numpy()
-            for q, m, t in zip(queries["sig"], queries["n"], queries["t"], strict=True):
+            names, at = np.unique(np.concatenate((queries["comp"].to_numpy(), members["comp"].to_numpy())), return_inverse=True)
+            mine, theirs = at[: len(queries)], at[len(queries) :]
+            forest = Union(len(names))
+            for k, (q, m, t) in enumerate(zip(queries["sig"], queries["n"], queries["t"], strict=True)):
                 t = np.array(t, dtype=np.int64)
                 if 4 * np.isin(t, column).sum() < 3 * m:
                     continue
-                hit = np.flatnonzero(7 * overlaps(t, tokens, owner, len(own)) >= 3 * (n + m))
-                if len(hit):
-                    # The members are one component already: one link joins all of them.
-                    a.append(q)
-                    b.append(int(sig[hit[0]]))
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    members = sets.select("comp", "sub", "sig", "n", "open.t")
-    return queries.groupBy("comp", "sub").cogroup(members.groupBy("comp", "sub")).applyInPandas(opened, "a long, b long")
+                for j in np.flatnonzero(7 * overlaps(t, tokens, owner, len(own)) >= 3 * (n + m)).tolist():
+                    if forest.find(int(mine[k])) != forest.find(int(theirs[j])):
+                        forest.join(int(mine[k]), int(theirs[j]))
+                        edges.append((q, int(sig[j])))
+        return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    members = sets.join(parts, ["key", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "sub", "part", "sig", "n", "comp", "open.t")
+    return queries.groupBy("key", "sub", "part").cogroup(members.groupBy("key", "sub", "part")).applyInPandas(opened, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
