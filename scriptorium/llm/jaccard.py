@@ -96,7 +96,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
             by = np.lexsort((tokens & np.uint64(0xFFFFFFFF), bucket))
             bucket, prints, owner = bucket[by], tokens[by].astype(np.uint32), owner[by]
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, dtype=np.int64)
-            records = [dict(kind=0, bucket=-1 - chunk % buckets, doc_id=d, n=n, sig=s, chunk=chunk, idx=i, own=int(own[i]) if i >= 0 else 0) for d, n, s, i in rows]
+            records = [dict(kind=0, bucket=-1 - ((chunk >> 24) + (chunk & 0xFFFFFF)) % buckets, doc_id=d, n=n, sig=s, chunk=chunk, idx=i, own=int(own[i]) if i >= 0 else 0) for d, n, s, i in rows]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 planes = prints[a:b].view(np.uint8).reshape(-1, 4)[:, ::-1].T
                 records.append(dict(kind=1, bucket=int(bucket[a]), chunk=chunk, prints=planes.tobytes(), owners=owner[a:b].tobytes()))
