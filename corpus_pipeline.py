@@ -20,10 +20,10 @@ GOOD = 0.7
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters to tell a language by, or no language surer than SURE."""
+    """Documents go that have no letters to tell a language by, that are in none of the languages, or have none surer than SURE."""
     model = language.fit(*language.training_rows(docs))
     found = language.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), out="_language_")
-    return found.where(F.col("_language_text_id").isNotNull() & (F.col("_language_confidence") >= SURE)).select(*docs.columns)
+    return found.where(F.col("_language_text_id").isNotNull() & (F.col("_language_id") != language.OTHER) & (F.col("_language_confidence") >= SURE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Language identification by fusing evidence, after Bayes.
 
 A text's likelihood under each language comes from hashed byte trigrams, with its weight bounded so that
-long texts don't drown the rest. To its logarithm are added those of the declared markup language, of the
+long texts don't drown the rest. One more class, OTHER, stands for whatever is none of the languages: foreign
+languages and letter gibberish. A text is of that class where its trigrams are less likely under the languages taken
+together than ``background``, a level set on held-out labelled texts. To the logarithms are added those of the declared markup language, of the
 address suffix and of a prior of the host. Hosts' priors are grouped sums of the posteriors without
 them, smoothed from the whole to the suffix, to the registered domain and to the host.
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import let, slices, softmax, written
 
 LANGS = ("de", "en", "es", "fr")
+#: The class of texts in none of the languages.
+OTHER = "other"
 BUCKETS = 1 << 14
 #: Rows a language that the text model is fitted on, at most.
 SAMPLE_ROWS = 1500
@@ -57,31 +61,75 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return ((code[keep] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64), doc[keep]
 
 
+def _sum_by_text(doc: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
+    return np.bincount(doc, weights=values, minlength=texts)
+
+
+def _together(log: np.ndarray) -> np.ndarray:
+    """Log likelihood of each trigram under all languages of ``log`` in equal parts."""
+    return np.log(np.exp(log).mean(axis=0))
+
+
 @dataclass
 class TextModel:
     langs: tuple[str, ...]
     log: np.ndarray
+    #: Of all languages that have training texts.
+    together: np.ndarray
+    background: float
+
+    @property
+    def classes(self) -> tuple[str, ...]:
+        return (*self.langs, OTHER)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """Bounded log likelihoods, a row for each text; zeros without letters."""
+        """Bounded log likelihoods of the classes, a row for each text; zeros without letters."""
         out = []
         for a, b in slices((len(t or "") for t in texts), CHARS):
             code, doc = trigrams(texts[a:b])
             n = np.bincount(doc, minlength=b - a)
-            sums = np.stack([np.bincount(doc, weights=self.log[j][code], minlength=b - a) for j in range(len(self.langs))], axis=1)
-            out.append(sums / np.maximum(n, 1)[:, None] * np.minimum(n, WEIGHT)[:, None])
-        return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
+            sums = [_sum_by_text(doc, log[code], b - a) for log in (*self.log, self.together)]
+            rates = np.stack(sums, axis=1) / np.maximum(n, 1)[:, None]
+            rates[:, -1] = rates[:, :-1].max(axis=1) + self.background - rates[:, -1]
+            out.append(rates * np.minimum(n, WEIGHT)[:, None])
+        return np.concatenate(out) if out else np.zeros((0, len(self.classes)))
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.1) / (counts.sum(axis=-1, keepdims=True) + 0.1 * BUCKETS))
+
+
+def _background(parts: list[list[list[str]]], counts: np.ndarray) -> float:
+    """The level under which a text is of no language: each half of the texts is scored by the other half's counts, once
+    with its own language among them and once without; half-way between the two medians, which wrongly labelled texts
+    don't move much. Uniform where that can't be told."""
+    known, unknown = [], []
+    for half in (0, 1):
+        trained = np.flatnonzero(counts[1 - half].sum(axis=1))
+        log = _logs(counts[1 - half])
+        for j in trained if len(trained) > 1 else ():
+            own = parts[half][j]
+            for a, b in slices((len(t or "") for t in own), CHARS):
+                code, doc = trigrams(own[a:b])
+                n = np.bincount(doc, minlength=b - a)
+                for found, among in ((known, trained), (unknown, trained[trained != j])):
+                    found.append((_sum_by_text(doc, _together(log[among])[code], b - a) / np.maximum(n, 1))[n >= WEIGHT])
+    if not sum(map(len, known)):
+        return float(-np.log(BUCKETS))
+    return float((np.median(np.concatenate(known)) + np.median(np.concatenate(unknown))) / 2)
 
 
 def fit(texts: list[str | None], langs: list[str], among: tuple[str, ...] = LANGS) -> TextModel:
-    log = np.zeros((len(among), BUCKETS))
-    for j, lang in enumerate(among):
-        counts = np.zeros(BUCKETS)
-        own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-        for a, b in slices((len(t or "") for t in own), CHARS):
-            counts += np.bincount(trigrams(own[a:b])[0], minlength=BUCKETS)
-        log[j] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
-    return TextModel(among, log)
+    owns = [[t for t, x in zip(texts, langs, strict=True) if x == lang] for lang in among]
+    parts = [[own[half::2] for own in owns] for half in (0, 1)]
+    counts = np.zeros((2, len(among), BUCKETS))
+    for half in (0, 1):
+        for j, own in enumerate(parts[half]):
+            for a, b in slices((len(t or "") for t in own), CHARS):
+                counts[half, j] += np.bincount(trigrams(own[a:b])[0], minlength=BUCKETS)
+    log = _logs(counts.sum(axis=0))
+    trained = counts.sum(axis=(0, 2)) > 0
+    return TextModel(among, log, _together(log[trained] if trained.any() else log), _background(parts, counts))
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, among: tuple[str, ...] = LANGS) -> tuple[list[str], list[str]]:
@@ -118,9 +166,9 @@ def _smoothed(counts: Column, below: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, out: str = "lang_") -> DataFrame:
-    """``rows`` with columns ``out`` + id (language or null), confidence, posterior (by model.langs), text_id
+    """``rows`` with columns ``out`` + id (language, OTHER or null), confidence, posterior (by model.classes), text_id
     (by the text alone) and host (its host's prior)."""
-    langs = model.langs
+    langs = model.classes
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")

@@ -186,6 +186,27 @@ def test_op3(spark, none):
     assert QUERIES["op3_language_id"](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
 
 
+FOREIGN = (
+    "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti e sono dotati di ragione", "xqzj wvkp qjxz bnmw zxcv qwpf jklz vbnq xkcd pqwz" * 3,
+)
+
+
+def test_texts_in_no_known_language_go(spark):
+    held = docs(spark).where("doc_id % 2 = 1 and n_chars >= 200")
+    strange = spark.createDataFrame([(-1 - i, t, "en", "src1", len(t)) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string, source string, n_chars long")
+    table = docs(spark).where("doc_id % 2 = 0").unionByName(held.select(*docs(spark).columns)).unionByName(strange.select(*docs(spark).columns))
+    model = language.fit(*language.training_rows(docs(spark).where("doc_id % 2 = 0")))
+    seen = language.identify(strange.unionByName(held.select(*strange.columns)), model, F.col("text"), F.lit(None), F.lit(None)).collect()
+    assert all(r.lang_id == r.lang_text_id == language.OTHER for r in seen if r.doc_id < 0)
+    assert np.mean([r.lang_id == r.lang for r in seen if r.doc_id >= 0]) > 0.95
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, table, str(DATA)).collect()}
+    assert not [i for i in kept if i < 0] and len({r.doc_id for r in held.collect()} - kept) <= 1
+    alone = language.fit(["one two three"] * 3, ["en"] * 3)
+    assert alone.background == pytest.approx(-np.log(language.BUCKETS)) and alone.evidence(["", "12", None]).tolist() == [[0.0] * 5] * 3
+
+
 def brute_components(rows):
     """Every pair of distinct sets that share a shingle, one by one."""
     sets, own = {}, []
