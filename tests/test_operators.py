@@ -12,6 +12,7 @@ from scriptorium.functions import maths as M
 from scriptorium.functions import text as T
 from scriptorium.operators import geometry, images, scoring, sequences, sets, splits
 from scriptorium.plans import optimize, params
+from scriptorium.plans.queries import QUERIES
 from scriptorium.sources import readers, sinks
 from scriptorium.streaming import flows
 
@@ -39,6 +40,19 @@ def test_error_rates(spark):
             assert value == pytest.approx(want)
 
 
+def test_unfolded_char_error_rates_tell_accented_letters_apart(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["é", "è", "ñandú", "über", "uber", "Ärger", "œ", "日本", "本", " ", "\u00a0", "plain", "😀"]
+    texts = [["été", "ètè"], ["日", "本"]] + [[" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(6)] for _ in range(20)]
+    rows = [(i, j, "user", t) for i, own in enumerate(texts) for j, t in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.cer, r.guess_length, r.truth_length) for r in QUERIES["char_error_rates_unfolded"](spark, str(tmp_path)).collect()}
+    assert len(got) == sum(len(own) - 1 for own in texts) and got[0, 1][0] == pytest.approx(2 / 3, abs=1e-6) and got[1, 1][0] == 1
+    for (i, j), found in got.items():
+        g, t = (" ".join(x.lower().split()) for x in texts[i][j - 1 : j + 1])
+        assert found == (pytest.approx(distance(g, t) / len(t) if t else float(bool(g)), abs=1e-6), len(g), len(t))
+
+
 def test_robust_score_without_rows_and_modes(spark):
     empty = spark.createDataFrame([], "k int, pos int, cer double, wer double, length_ratio double, underproduction double, is_empty boolean, is_very_short boolean")
     only = scoring.robust_score(empty, []).first()
