@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 BLANKS = r"(?U)[\s﻿]+"
 FIRST_CODE = 0x100
-#: Different words of one pair that word_distance can tell apart.
-MOST_WORDS = 0xD800 - FIRST_CODE
+#: Code points from FIRST_CODE on, without surrogates.
+SURROGATES = 0xE000 - 0xD800
+MOST_CODES = 0x110000 - FIRST_CODE - SURROGATES
 
 
 def trimmed(s: Column) -> Column:
@@ -29,16 +30,37 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(normalise(s), " "), lambda w: w != "")
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """edit distance of two word arrays. Each different word becomes one character, so that the built-in
-    distance applies; pairs of more than MOST_WORDS different words give null."""
-    known = F.array_distinct(F.concat(a, b))
+def array_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays, row by row of its table; for those that word_distance can't code."""
+    first = F.sequence(F.lit(0), F.size(a))
 
-    def coded(words: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + (FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(words, code), "")
+    def next_row(row: Column, y: Column) -> Column:
+        def cell(new: Column, i: Column) -> Column:
+            return F.concat(new, F.array(F.least(F.get(new, i - 1) + 1, F.get(row, i) + 1, F.get(row, i - 1) + (F.get(a, i - 1) != y).cast("int"))))
 
-    return F.when(F.size(known) <= MOST_WORDS, F.levenshtein(coded(a), coded(b)))
+        return F.aggregate(F.slice(first, 2, F.size(a)), F.array(F.get(row, F.lit(0)) + 1), cell)
+
+    return F.element_at(F.aggregate(b, first, next_row), -1)
+
+
+def word_codes(words: Column, shared: Column, alone: int) -> Column:
+    """A text with one character for each of ``words``: its own where ``shared`` holds the word, else that of ``alone``, 0 or 1."""
+
+    def code(w: Column) -> Column:
+        at = F.array_position(shared, w)
+        point = F.when(at == 0, alone).otherwise(at + 1) + FIRST_CODE
+        point = point + F.when(point >= 0xD800, SURROGATES).otherwise(0)
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    return F.array_join(F.transform(words, code), "")
+
+
+def word_distance(a: Column, b: Column, most: int = MOST_CODES) -> Column:
+    """edit distance of two word arrays. Each word that both hold becomes one character, and so do all words of one
+    side alone, which match nothing, so that the built-in distance applies; ``array_distance`` counts where that takes
+    more than ``most`` characters."""
+    shared = F.array_intersect(a, b)
+    return F.when(F.size(shared) + 2 <= most, F.levenshtein(word_codes(a, shared, 0), word_codes(b, shared, 1))).otherwise(array_distance(a, b))
 
 
 def error_rate(distance: Column, truth: Column, guess: Column, clamp: bool = False) -> Column:

@@ -40,6 +40,21 @@ def test_error_rates(spark):
             assert value == pytest.approx(want)
 
 
+def test_word_distance_beyond_the_basic_plane(spark):
+    rng = random.Random(4)
+    rows = [([rng.choice("abcdefg") for _ in range(rng.randint(0, 9))], [rng.choice("abcdefg") for _ in range(rng.randint(0, 9))]) for _ in range(60)] + [([], []), (["x"], []), ([], ["x"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for r in df.select("a", "b", T.word_distance(F.col("a"), F.col("b")).alias("coded"), T.word_distance(F.col("a"), F.col("b"), 4).alias("some"), T.array_distance(F.col("a"), F.col("b")).alias("plain")).collect():
+        assert r.coded == r.some == r.plain == distance(r.a, r.b)
+    # Words numbered around the surrogates and past the basic plane, whose code points must differ.
+    n = 66_000
+    a = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string"))
+    seen = spark.range(1).select(a.alias("a")).select(T.word_codes(F.slice("a", n - 20, 20), F.col("a"), 0).alias("high"), T.word_codes(F.slice("a", 55_030, 20), F.col("a"), 0).alias("low"), T.word_codes(F.array(F.lit("no")), F.col("a"), 1).alias("alone")).first()
+    assert [ord(c) for c in seen.high] == [0x101 + i + 0x800 for i in range(n - 20, n)] and min(map(ord, seen.high)) > 0xFFFF and ord(seen.alone) == 0x101
+    assert [ord(c) for c in seen.low] == [0x101 + i + (0x800 if 0x101 + i >= 0xD800 else 0) for i in range(55_030, 55_050)]
+    assert spark.createDataFrame([(seen.high, seen.high[1:])], "a string, b string").select(F.levenshtein("a", "b")).first()[0] == 1
+
+
 def test_unfolded_char_error_rates_tell_accented_letters_apart(spark, tmp_path):
     rng = random.Random(9)
     words = ["é", "è", "ñandú", "über", "uber", "Ärger", "œ", "日本", "本", " ", "\u00a0", "plain", "😀"]
