@@ -6,7 +6,10 @@ each paragraph a family's probability; its temperature is fitted on altered copi
 paragraph below ``sure`` is ``unknown``. The share of a family's template words found in the paragraph
 then confirms the prediction or not. A paragraph with no licence word has no feature, so it has no row.
 
-Cases: null and empty texts have no rows; a paragraph is a line, of any length; each occurrence of a repeated
+A paragraph is a line, of any length, with the lines after it that go on with a notice: those whose first word
+follows the last word of the line before in one of the notices. It has the number of its first line.
+
+Cases: null and empty texts have no rows; each occurrence of a repeated
 line or document has its own row; null ids are kept; an empty table gives no rows; ties go to
 the family first by name; further columns are not read.
 """
@@ -138,13 +141,28 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
+def _paragraphs(text: Column) -> Column:
+    """The paragraphs of a text with the number of each one's first line."""
+    words = [tokens(n) for notices in NOTICES.values() for n in notices]
+    pairs = _strings(sorted({f"{a} {b}" for own in words for a, b in zip(own, own[1:], strict=False)}))
+    last = lambda line: F.regexp_extract(F.lower(line), r"(?<![a-z0-9])([a-z0-9]++)[^a-z0-9]*+$", 1)
+    first = lambda line: F.regexp_extract(F.lower(line), r"^[^a-z0-9]*+([a-z0-9]++)", 1)
+
+    def of(lines: Column) -> Column:
+        goes_on = lambda i: (i > 0) & F.array_contains(pairs, F.concat_ws(" ", last(F.get(lines, i - 1)), first(F.get(lines, i))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~goes_on(i))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(i.alias("paragraph"), F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - i), " ").alias("line"))))
+
+    return let(F.split(text, "\n"), of)
+
+
 def scan(docs: DataFrame, model: Model | None = None, sure: float = 0.5, alike: float = 0.6) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed: a row for each line that holds a
-    licence word known to the model."""
+    """doc_id, paragraph, family, probability, similarity, confirmed: a row for each paragraph that holds
+    a licence word known to the model."""
     model = model or train()
     gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
     text = F.col("text").cast("string")
-    lines = docs.where(text.rlike(gate)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(gate))
+    lines = docs.where(text.rlike(gate)).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(_paragraphs(text))).where(F.col("line").rlike(gate))
     grams = lines.withColumn("words", _words(F.col("line"))).withColumn("grams", _grams(F.col("words")))
     rows = [[float(x) for x in model.weights[i]] for i in model.features.values()]
     table = F.from_json(F.lit(json.dumps(dict(zip(model.features, rows, strict=True)))), "map<string,array<double>>")

@@ -317,6 +317,17 @@ def test_op9(spark, odd, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_wrapped_notices_are_one_paragraph(spark):
+    model = licenses.train()
+    bsd = "Redistribution and use in source and binary forms, with or without"
+    texts = {
+        1: f" * {bsd}\n * modification, are permitted provided that the following\n * conditions are met\n * Some words.", 2: "Text.\n\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.\nMore.",
+        3: "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", 4: f"{bsd}\n\nmodification, are permitted", 5: "x" * 30_000 + "\nReleased under the\nMIT License.\n",
+    }
+    got = sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect())
+    assert got == [(1, 0, "BSD", True), (2, 2, "CC-BY-NC", True), (3, 0, "Apache-2.0", True), (3, 1, "MIT", True), (4, 0, "BSD", False), (5, 1, "MIT", True)]
+
+
 def test_op10(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 16))
