@@ -343,22 +343,28 @@ def distinct(docs: DataFrame) -> DataFrame:
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.withColumn(name, F.col("doc_id").cast("long"))
     known = rows.where(worded & F.col(name).isNotNull())
-    gone = placed.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("lowest")).alias("first")).where("doc_id is not null and not first").select(F.col("doc_id").alias(name))
-    kept = known.join(_bounded(gone), name, "left_anti")
-    repeated = written(placed.where("doc_id = lowest").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated")
-    if not repeated.isEmpty():
-        few = _bounded(repeated)
-        kept = kept.join(few, name, "left_anti").unionByName(kept.join(few, name, "left_semi").dropDuplicates([name]))
+    of, group = fresh(docs, "_sig"), fresh(docs, "_component")
+
+    @F.pandas_udf("long")
+    def sign(texts: pd.Series) -> pd.Series:
+        return pd.Series([signature(own) for own in shingles(words(texts.tolist()))], dtype="int64")
+
+    def one_each(rows: DataFrame, on: list[str], chosen: DataFrame) -> DataFrame:
+        return rows.withColumn(of, sign(F.col("text").cast("string"))).join(chosen, on).dropDuplicates([group]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    by_id = placed.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.bool_or(F.col("doc_id") == F.col("lowest")).alias("first"), F.count("*").alias("rows"))
+    kept = known.join(_bounded(by_id.where("not first").select(name)), name, "left_anti")
+    # An id of several rows says nothing of a row: its text does.
+    repeated = written(by_id.where("first and rows > 1").select(name), "repeated")
+    some = not repeated.isEmpty()
+    if some:
+        several = kept.join(_bounded(repeated), name, "left_semi")
+        kept = kept.join(_bounded(repeated), name, "left_anti")
     out = kept.drop(name).unionByName(docs.where(~worded))
-    nameless = placed.where("lowest is null").groupBy("sig").agg(F.first("component").alias("component"))
+    if some:
+        named = placed.where("doc_id = lowest").join(_bounded(repeated), F.col("doc_id") == F.col(name), "left_semi")
+        out = out.unionByName(one_each(several, [name, of], named.groupBy(F.col("doc_id").alias(name), F.col("sig").alias(of)).agg(F.first("component").alias(group))))
+    nameless = placed.where("lowest is null").groupBy(F.col("sig").alias(of)).agg(F.first("component").alias(group))
     if not nameless.isEmpty():
-        of, group = fresh(docs, "_sig"), fresh(docs, "_component")
-
-        @F.pandas_udf("long")
-        def sign(texts: pd.Series) -> pd.Series:
-            return pd.Series([signature(own) for own in shingles(words(texts.tolist()))], dtype="int64")
-
-        extra = rows.where(worded & F.col(name).isNull()).withColumn(of, sign(F.col("text").cast("string")))
-        extra = extra.join(nameless.select(F.col("sig").alias(of), F.col("component").alias(group)), of).dropDuplicates([group])
-        out = out.unionByName(extra.select(*[F.col(f"`{c}`") for c in docs.columns]))
+        out = out.unionByName(one_each(rows.where(worded & F.col(name).isNull()), [of], nameless))
     return out

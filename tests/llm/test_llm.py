@@ -264,6 +264,13 @@ def test_op5(spark, odd, none):
     assert jaccard.distinct(nameless).count() == 1
 
 
+def test_distinct_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    other, third = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "red green blue black white grey pink brown orange violet"
+    rows = [(1, W), (1, other), (1, other), (2, W), (2, third), (3, third), (0, "lone words of one text that nobody else has at all"), (2, other), (None, third)]
+    kept = jaccard.distinct(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, W), (1, other), (2, third), rows[6]])
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
