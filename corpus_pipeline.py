@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: language, quality, near-duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``. Null ids, null texts and repeated rows pass through each stage as its
+return the columns of ``documents``. Its result is written to the shared folder and read again. Null ids, null texts and repeated rows pass through each stage as its
 operator defines; an empty table gives an empty result.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import jaccard, language, packing_concat, quality
+from scriptorium.llm._common import written
 
 #: A document's language must be at least so sure.
 SURE = 0.5
@@ -49,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for _, stage in before:
+        docs = written(stage(spark, docs, sf_dir), "documents")
+    return last(spark, docs, sf_dir)

@@ -369,6 +369,19 @@ def test_op10(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pipeline_stages_read_what_the_stage_before_wrote(spark, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert corpus_pipeline.run(spark, str(DATA)).count() == docs(spark).where("doc_id % 2 = 0").count()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    assert [all(shared in f for f in files) for files in read] == [False, True, True] and len({tuple(f) for f in read}) == 3
+
+
 def test_pipeline(spark, odd, none):
     table = docs(spark)
     for (name, stage), size in zip(corpus_pipeline.STAGES, (200, 100, 50, 1), strict=True):
