@@ -36,6 +36,9 @@ OCCUPANCY, MOST_CENTRES = 24, 256
 MEMBERS, VISITORS = 1024, 2048
 #: Rows that one call compares.
 ROWS_A_CALL = 16384
+#: Components whose smallest ids are broadcast, at most; above that a salted join takes over.
+BROADCAST_COMPONENTS = 200_000
+SALTS = 16
 
 
 @dataclass
@@ -157,14 +160,14 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, recall: float
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("h1", F.when(good, F.xxhash64("label", "embedding"))).withColumn("h2", F.when(good, F.hash("label", "embedding")))
-    classes = written(keyed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.first("label").alias("label")), "classes")
+    classes = written(keyed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.first("label").alias("label")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
     indexes: dict[int, Index] = {}
     for r in sorted(lengths):
         if r.dims < 2:
             indexes[r.dims] = Index(r.dims, np.zeros((1, r.dims // 2)), np.zeros((1, r.dims - r.dims // 2)), np.inf)
             continue
-        sample = classes.where(F.size("embedding") == r.dims).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+        sample = classes.where(F.size("embedding") == r.dims).orderBy(F.xxhash64("low"), "low", "h1", "h2").limit(SAMPLE).select("embedding").toPandas()["embedding"]
         x = np.stack(sample.to_list())
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -196,7 +199,14 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, recall: float
     found = written(blocks.select("call", *key, "qb", "mb", "cls", "weight", "home", "visit", "unit").groupBy("call").applyInPandas(lambda f: _compare(f, similarity), "cls long, links long, root long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    done = classes.join(links, "cls", "left").join(whole.withColumnRenamed("id", "cls"), "cls", "left").select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    linked = written(classes.select("h1", "h2", "cls", "low", "weight").join(links, "cls", "left").join(whole.withColumnRenamed("id", "cls"), "cls", "left"), "linked")
+    lowest = written(linked.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest")), "lowest")
+    if lowest.count() <= BROADCAST_COMPONENTS:
+        named = linked.join(F.broadcast(lowest), "component", "left")
+    else:
+        salted = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = linked.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"], "left")
+    done = named.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
     out = keyed.select("vec_id", "h1", "h2").join(done, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

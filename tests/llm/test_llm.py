@@ -369,6 +369,16 @@ def test_op10(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [embedding_dedup.BROADCAST_COMPONENTS, 0])
+def test_op10_with_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_COMPONENTS", most)
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [1.0, 0.05, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(7, a), (7, b), (7, c), (8, c), (3, [0.0, 0.0, 1.0, 0.05])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == sorted([(7, 1, 7), (7, 1, 7), (7, 2, 3), (8, 2, 3), (3, 2, 3)])
+
+
 def test_pipeline_stages_read_what_the_stage_before_wrote(spark, monkeypatch):
     read = []
 
