@@ -1,8 +1,9 @@
 """Batch byte-level BPE encoding.
 
 Pre-tokens are cut for a whole batch with array operations, and each distinct pre-token is
-encoded once per Python worker; a document's ids are then gathered from that store. Scripts whose
-letter classes differ between Unicode versions go through the tokenizer library unchanged.
+encoded once per Python worker; a document's ids are then gathered from that store. Pre-tokens are told apart by two
+64-bit hashes, from unrelated tables, and their lengths; a text with one that agrees in the first hash alone goes through the
+tokenizer library, as do scripts whose letter classes differ between Unicode versions.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import unicodedata
 import numpy as np
 import tiktoken
 
-from ._common import SpanHasher, ragged, slices
+from ._common import SpanHasher, held, ragged, slices
 
 OTHER, LETTER, NUMBER, SPACE, ODD = 0, 1, 2, 3, 4
 #: White_Space code points.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 PLAIN = 0x2100
+# Fixed value: the one pre-token pattern that _cut follows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHARS_A_SLICE = 1 << 19
 MOST_KEPT = 750_000
 
@@ -52,8 +55,10 @@ class BatchBPE:
     """encode(texts) gives one uint32 array of ids per text (null text: no ids)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if pattern != PATTERN:
+            raise ValueError("pre-tokens are cut by one pattern only (see PATTERN)")
         self.encoding = tiktoken.Encoding("batch", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.classes, self.hasher = _classes(), SpanHasher(PLAIN)
+        self.classes, self.hasher, self.second = _classes(), SpanHasher(PLAIN), SpanHasher(PLAIN, seed=20240607)
         self._forget()
         size = max(ranks.values()) + 1
         self.token_bytes = np.zeros(size, dtype=np.int64)
@@ -61,9 +66,11 @@ class BatchBPE:
         for piece, i in ranks.items():
             self.token_bytes[i] = len(piece)
             self.pieces[i] = piece
+        self.widths = self.token_bytes.tolist()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
+        self.checks = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.n = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -95,11 +102,15 @@ class BatchBPE:
         start = self._cut(cp, kind, first[lengths > 0])
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(cp))
-        row = self._look_up(joined, self.hasher.spans(cp, begin, end), begin, end)
+        check = self.second.spans(cp, begin, end) ^ (end - begin).astype(np.uint64)
+        row = self._look_up(joined, self.hasher.spans(cp, begin, end), check, begin, end)
         ids = self.flat[ragged(self.at[row], self.n[row])]
         upto = np.concatenate(([0], np.cumsum(self.n[row])))
         cuts = upto[np.searchsorted(begin, np.append(first, len(cp)))]
-        return [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+        out = [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+        for i in set((np.searchsorted(first, begin[self.checks[row] != check], side="right") - 1).tolist()):
+            out[i] = np.array(self.encoding.encode_ordinary(texts[i]), dtype=np.uint32)
+        return out
 
     @staticmethod
     def _cut(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -130,7 +141,7 @@ class BatchBPE:
             start[i + 1 + size : i + 2 + size] = True
         return start
 
-    def _look_up(self, joined: str, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _look_up(self, joined: str, hashes: np.ndarray, check: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Row of each pre-token in the store; encodes what isn't there yet."""
         uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > MOST_KEPT:
@@ -148,16 +159,12 @@ class BatchBPE:
             keys = np.concatenate((self.keys, uniq[new]))
             order = np.argsort(keys, kind="stable")
             self.keys, self.at, self.n = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
+            self.checks = np.concatenate((self.checks, check[where[new]]))[order]
             pos = np.searchsorted(self.keys, uniq)
         return pos[back]
 
 
-_made: dict[tuple[str, str], BatchBPE] = {}
-
-
 def encoder(path: str, pattern: str) -> BatchBPE:
-    """One per Python worker, file and pattern."""
-    if (path, pattern) not in _made:
-        load = ranks_from_tokenizer_json if path.endswith(".json") else ranks_from_tiktoken
-        _made[path, pattern] = BatchBPE(load(path), pattern)
-    return _made[path, pattern]
+    """One per Python worker, for the file and pattern of its current stage."""
+    load = ranks_from_tokenizer_json if path.endswith(".json") else ranks_from_tiktoken
+    return held((path, pattern), lambda: BatchBPE(load(path), pattern))

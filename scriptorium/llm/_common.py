@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local master, whose tasks share the driver's disk, may go
+    without one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scriptorium-")
         sc.setCheckpointDir(folder)
     return folder
@@ -41,6 +48,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column name of ``df`` begins with, ``prefix`` where it can be."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to ``limit`` at most (one item may exceed it)."""
     start = total = end = 0
@@ -61,6 +75,86 @@ def small(batches: Iterable, rows: int = 500) -> Iterator:
             yield batch.slice(lo, rows)
 
 
+def by_texts(column: pa.Array, make: Callable[[list[str | None]], list], kind: pa.DataType, rows: int = 500) -> pa.Array:
+    """``make`` of the texts of ``column``, a few at a time, as one array."""
+    parts = [pa.array(make(column.slice(lo, rows).to_pylist()), type=kind) for lo in range(0, len(column), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+
+#: Rows and bytes of an Arrow batch of texts, at most; one text may exceed the bytes.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id and text for a Python task. The session's Arrow batches are bounded, as a batch is held several times over: in the JVM,
+    in the worker and as strings."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    conf = "spark.sql.execution.arrow."
+    spark.conf.set(conf + "maxRecordsPerBatch", str(min(int(spark.conf.get(conf + "maxRecordsPerBatch")), ARROW_ROWS)))
+    spark.conf.set(conf + "maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
+_held: dict[Hashable, Any] = {}
+_lean = False
+#: From so many bytes on, an allocation is given back to the system when it is freed.
+MAPPED = 1 << 20
+
+
+def _be_lean() -> None:
+    """Python workers outlive stages and share an executor's memory with its JVM: have freed arrays given back."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD, which else grows with what is freed
+            libc.mallopt(-1, MAPPED)  # M_TRIM_THRESHOLD
+        except (AttributeError, OSError):  # a C library without it keeps the pages
+            pass
+
+
+def held(key: Hashable, make: Callable[[], Any] | None = None) -> Any:
+    """What ``make`` gives, kept by the Python worker for its next tasks; every task asks first. One object is kept at a time:
+    asking for another, or for none, frees the last one."""
+    _be_lean()
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]
+
+
+def bounded_texts(docs: DataFrame, chosen: list[tuple[int, Any]], most: int, label: Column | None = None) -> list[tuple[str, Any]]:
+    """(text, label) of the ``chosen`` (doc_id, label), in that order: whole texts, of each label as many as hold ``most`` bytes.
+    With a ``label`` column only rows that carry the label count. Where an id repeats, its shortest text counts, the first of equal
+    ones. Null texts are left out."""
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    of = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).alias("size"), (F.lit("") if label is None else label.cast("string")).alias("label")).where("text is not null")
+    picked = spark.createDataFrame([(i, "" if label is None else str(y), k) for k, (i, y) in enumerate(chosen)], "doc_id long, label string, place long")
+    sizes = of.select("doc_id", "label", "size").join(F.broadcast(picked), ["doc_id", "label"]).groupBy("place").agg(F.min("size").alias("size")).orderBy("place").collect()
+    upto, kept = dict.fromkeys((y for _, y in chosen), 0), []
+    for r in sizes:
+        i, y = chosen[r.place]
+        if upto[y] + r["size"] <= most:
+            upto[y] += r["size"]
+            kept.append((i, "" if label is None else str(y), r.place, r["size"]))
+    kept = spark.createDataFrame(kept, "doc_id long, label string, place long, size int")
+    found = of.join(F.broadcast(kept), ["doc_id", "label", "size"]).groupBy("place").agg(F.min("text").alias("text")).orderBy("place").collect()
+    return [(r.text, chosen[r.place][1]) for r in found]
+
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)

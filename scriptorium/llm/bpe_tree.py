@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A text is halved until its parts are short, the parts are encoded, and neighbours are joined up the
-tree. Joining encodes a window around the seam anew. The window grows on either side until it
+A text is halved until its parts are short (LEAF_CHARS, well below a usual text's length), the parts are encoded, and neighbours are
+joined up the tree, level by level for all texts of a batch. Joining encodes a window around the seam anew. The window grows on either side until it
 starts and ends at a stable place: a white-space character right after another character. No
 pre-token of the pattern reaches over such a place from the left (white space never follows another
 character within a match, and the pattern's only look-ahead stands behind white space), and the
@@ -23,18 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import SPACES, BatchBPE, encoder
-from ._common import small
+from ._common import id_and_text, small
 
-LEAF_CHARS = 4096
-LEAF_IDS = 8192
+LEAF_CHARS = 256
+LEAF_IDS = 128
 BLANK = frozenset(map(chr, SPACES))
 
 
-def parts(lo: int, hi: int, leaf: int) -> list[tuple[int, int]]:
-    if hi - lo <= leaf:
-        return [(lo, hi)]
-    mid = (lo + hi) // 2
-    return parts(lo, mid, leaf) + parts(mid, hi, leaf)
+Span = tuple[int, int, int]
+
+
+def levels(sizes: list[int], leaf: int) -> list[list[Span]]:
+    """The nodes (text, from, to) of all texts' trees, from the roots down; nodes of more than ``leaf`` characters are halved."""
+    out, level = [], [(t, 0, n) for t, n in enumerate(sizes)]
+    while level:
+        out.append(level)
+        level = [half for t, lo, hi in level if hi - lo > leaf for half in ((t, lo, (lo + hi) // 2), (t, (lo + hi) // 2, hi))]
+    return out
 
 
 def stable_before(text: str, lo: int, seam: int) -> int:
@@ -59,47 +64,44 @@ def stable_after(text: str, seam: int, hi: int) -> int:
     return hi
 
 
-def _tail(ids: np.ndarray, size: int, widths: np.ndarray) -> int:
+def _tail(ids: np.ndarray, size: int, widths: list[int]) -> int:
     """How many ids at the end make up ``size`` bytes."""
-    k = step = 0
+    k = 0
     while size > 0:
-        step = max(16, 2 * step)
-        seen = np.cumsum(widths[ids[::-1][k : k + step]])
-        if not len(seen):
-            raise ValueError("tokens do not meet a stable place")
-        n = int(np.searchsorted(seen, size))
-        if n < len(seen):
-            if seen[n] != size:
-                raise ValueError("tokens do not meet a stable place")
-            return k + n + 1
-        k, size = k + len(seen), size - int(seen[-1])
+        if k == len(ids):
+            break
+        k += 1
+        size -= widths[ids.item(len(ids) - k)]
+    if size:
+        raise ValueError("tokens do not meet a stable place")
     return k
 
 
-def join(text: str, lo: int, seam: int, hi: int, left: np.ndarray, right: np.ndarray, bpe: BatchBPE) -> np.ndarray:
-    """The ids of text[lo:hi] from those of its two sides."""
-    a, b = stable_before(text, lo, seam), stable_after(text, seam, hi)
+def join(text: str, window: tuple[int, int, int], left: np.ndarray, middle: np.ndarray, right: np.ndarray, widths: list[int]) -> np.ndarray:
+    """The ids of two neighbours together: those of the ``window`` (from, seam, to) are ``middle``, the others stay."""
+    a, seam, b = window
     if a == b:
         return np.concatenate((left, right))
-    middle = bpe.encode([text[a:b]])[0]
-    cut = len(left) - _tail(left, len(text[a:seam].encode()), bpe.token_bytes)
-    skip = _tail(right[::-1], len(text[seam:b].encode()), bpe.token_bytes)
+    cut = len(left) - _tail(left, len(text[a:seam].encode()), widths)
+    skip = _tail(right[::-1], len(text[seam:b].encode()), widths)
     return np.concatenate((left[:cut], middle, right[skip:]))
 
 
 def encode_all(texts: list[str], bpe: BatchBPE, leaf: int = LEAF_CHARS) -> list[np.ndarray]:
-    """The leaves of all texts are encoded together; each text is then joined up its own tree."""
-    cuts = [parts(0, len(t), leaf) for t in texts]
-    leaves = iter(bpe.encode([t[a:b] for t, own in zip(texts, cuts, strict=True) for a, b in own]))
-
-    def up(text: str, lo: int, hi: int) -> np.ndarray:
-        if hi - lo <= leaf:
-            return next(leaves)
-        mid = (lo + hi) // 2
-        left = up(text, lo, mid)
-        return join(text, lo, mid, hi, left, up(text, mid, hi), bpe)
-
-    return [up(t, 0, len(t)) for t in texts]
+    """The ids of each text. All leaves are encoded together, and so are all windows of a level."""
+    widths, nodes = bpe.widths, levels([len(t) for t in texts], leaf)
+    leaves = [n for level in nodes for n in level if n[2] - n[1] <= leaf]
+    done: dict[Span, np.ndarray] = dict(zip(leaves, bpe.encode([texts[t][lo:hi] for t, lo, hi in leaves]), strict=True))
+    for level in reversed(nodes):
+        inner = [n for n in level if n[2] - n[1] > leaf]
+        windows = []
+        for t, lo, hi in inner:
+            mid = (lo + hi) // 2
+            windows.append((stable_before(texts[t], lo, mid), mid, stable_after(texts[t], mid, hi)))
+        for (t, lo, hi), window, middle in zip(inner, windows, bpe.encode([texts[n[0]][a:b] for n, (a, _, b) in zip(inner, windows, strict=True)]), strict=True):
+            mid = window[1]
+            done[t, lo, hi] = join(texts[t], window, done.pop((t, lo, mid)), middle, done.pop((t, mid, hi)), widths)
+    return [done[t, 0, len(x)] for t, x in enumerate(texts)]
 
 
 def decode(ids: np.ndarray, pieces: list[bytes], leaf: int = LEAF_IDS) -> bytes:
@@ -121,4 +123,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, leaf: int = LEAF_CH
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

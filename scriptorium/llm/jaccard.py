@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, mix, slices, small, written
+from ._common import by_texts, fresh, held, id_and_text, mix, slices, small, written
 from ._graph import Union, components
 from ._words import shingles, words
 
@@ -68,14 +68,15 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of documents (kind 0), and packed prints with their owners by bucket (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         part, chunks = TaskContext.get().partitionId() << 24, 0
         rows: list[tuple] = []
         sets: list[np.ndarray] = []
         number: dict[int, int] = {}
-        held = 0
+        kept = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, chunks
+            nonlocal kept, chunks
             chunk = part + chunks
             chunks += 1
             lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -103,7 +104,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
             rows.clear()
             sets.clear()
             number.clear()
-            held = 0
+            kept = 0
             return pa.RecordBatch.from_pylist(records, schema=schema)
 
         for batch in small(batches):
@@ -114,21 +115,22 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                     idx = number.setdefault(sig, len(sets))
                     if idx == len(sets):
                         sets.append(own)
-                        held += len(own)
+                        kept += len(own)
                 rows.append((doc, len(own), sig, idx))
-                if held >= CHUNK_SHINGLES or len(rows) >= CHUNK_TEXTS:
+                if kept >= CHUNK_SHINGLES or len(rows) >= CHUNK_TEXTS:
                     yield flush()
         if rows:
             yield flush()
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in SCANNED.split(", ")])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCANNED)
+    return id_and_text(docs).mapInArrow(run, SCANNED)
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     """Documents as they are; of a bucket, how many of each text's prints another text has: one row a chunk,
     with the texts' numbers and their counts packed."""
+    held(None)
     keep = ["kind", "doc_id", "n", "sig", "chunk", "idx", "own", "owners", "counts"]
     packed = frame[frame["kind"] == 1]
     documents = frame[frame["kind"] == 0].reindex(columns=keep)
@@ -151,6 +153,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
     """All of a chunk's counts."""
+    held(None)
     total = np.zeros(WITNESS + 1, dtype=np.int64)
     for owners, counts in zip(frame["owners"], frame["counts"], strict=True):
         total[np.frombuffer(owners, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
@@ -169,6 +172,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         bits, seen = shared.value, set()
         for batch in small(batches):
             out = []
@@ -182,7 +186,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array([x[k] for x in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["sig", "n", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "sig long, n long, tokens binary").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return id_and_text(docs).mapInArrow(run, "sig long, n long, tokens binary").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
@@ -204,6 +208,7 @@ def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _join_group(frame: pd.DataFrame) -> pd.DataFrame:
     """sig and the root it is joined to, for the groups in ``frame``."""
+    held(None)
     out = []
     for _, group in frame.groupby(["key", "sub"], sort=True):
         if len(group) < 2:
@@ -237,6 +242,7 @@ def _open_shingles(sets: DataFrame) -> DataFrame:
     """Sets (sig, n, comp, tokens) of which three quarters lie in other components, with those shingles only
     and, for each, how many sets hold it."""
     def explode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for batch in frames:
             own = [np.frombuffer(t, dtype=np.int64) for t in batch.column(3).to_pylist()]
             for lo, hi in slices(map(len, own), 50_000):
@@ -271,6 +277,7 @@ def _exact_links(left: DataFrame) -> DataFrame:
     queries = written(dealt.join(sets.select("sig", "n", "comp", "open.t"), "sig").select("key", "sub", "part", "sig", "n", "comp", "t"), "queries")
 
     def opened(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        held(None)
         edges: list[tuple[int, int]] = []
         if len(queries) and len(members):
             own = [np.array(t, dtype=np.int64) for t in members["t"]]
@@ -345,9 +352,10 @@ def distinct(docs: DataFrame) -> DataFrame:
     known = rows.where(worded & F.col(name).isNotNull())
     of, group = fresh(docs, "_sig"), fresh(docs, "_component")
 
-    @F.pandas_udf("long")
-    def sign(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(own) for own in shingles(words(texts.tolist()))], dtype="int64")
+    @F.arrow_udf("long")
+    def sign(texts: pa.Array) -> pa.Array:
+        held(None)
+        return by_texts(texts, lambda some: [signature(own) for own in shingles(words(some))], pa.int64())
 
     def one_each(rows: DataFrame, on: list[str], chosen: DataFrame) -> DataFrame:
         return rows.withColumn(of, sign(F.col("text").cast("string"))).join(chosen, on).dropDuplicates([group]).select(*[F.col(f"`{c}`") for c in docs.columns])

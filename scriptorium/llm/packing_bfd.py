@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
-from ._common import small
+from ._common import id_and_text, small
 
 SEQUENCES = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, seg_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 BUFFER_TOKENS = 2_000_000
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = 1024, end_
         if held:
             yield _matrix(names, ids, length, pad_id, base)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEQUENCES)
+    return id_and_text(docs).mapInArrow(run, SEQUENCES)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

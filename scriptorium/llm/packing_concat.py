@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
-from ._common import small, written
+from ._common import held, id_and_text, small, written
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, opens boolean, closes boolean"
 
@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int | None =
                 names=["doc_id", "part", "local_start", "doc_tokens", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part int, local_start long, doc_tokens long, ids binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, part int, local_start long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -57,6 +57,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = 1024, end_
     shared = docs.sparkSession.sparkContext.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         base = shared.value
         for batch in small(batches):
             n = batch.column(3).to_numpy()

@@ -8,7 +8,8 @@ temperature fitted on rows kept out of training.
 
 Cases: null and empty texts pool to zeros and get the network's score for that; equal texts get equal
 scores; an empty table gives no rows; with no labels, or labels of one class, the score is the smoothed
-share of label 1; rows with null ids are scored; further columns stay as they are.
+share of label 1; rows with null ids are scored; further columns stay as they are, and where one has the score's name, the score's gets
+underscores at its end.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, slices
+from ._common import bound_batches, bounded_texts, by_texts, fresh, held, mix, slices
 from ._words import Words, words
 
 DIM = 64
@@ -28,6 +29,8 @@ ROWS = 1 << 15
 HIDDEN = 24
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 8000
+#: Bytes of their texts, at most, for each label.
+SAMPLE_BYTES = 32 << 20
 ECHO = np.uint64(0x1D8E4E27C47D124F)
 CHARS = 1 << 19
 
@@ -140,14 +143,13 @@ def fit(texts: list[str | None], y: np.ndarray, seed: int = 7, epochs: int = 60)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str | None], np.ndarray]:
-    """At most ``rows`` labelled documents outside the held-out fold, by hashed id, as (texts, labels)."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most ``rows`` labelled documents outside the held-out fold, by hashed id, and of each label as many as hold ``most``
+    bytes of text, as (texts, labels)."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, quality int")
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
-    return [r.text for r in found], np.array([r.quality for r in found])
+    picked = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    found = bounded_texts(docs, [(r.doc_id, r.quality) for r in picked], most)
+    return [t for t, _ in found], np.array([y for _, y in found])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,14 +157,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the score in a column ``name``."""
+    """``docs`` with the score in a column ``fresh(docs, name)``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        held(None)
+        return by_texts(texts, lambda some: shared.value.score(some), pa.float64())
 
-    return docs.withColumn(name, score(F.col("text").cast("string")))
+    return docs.withColumn(fresh(docs, name), score(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:

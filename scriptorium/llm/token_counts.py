@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
+from ._common import id_and_text, small
 
 RULES = ("start", "majority")
 COUNTS = "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -52,9 +53,8 @@ def attribute(docs: DataFrame, tokenizer: str, pattern: str, rule: str = "start"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
+        for some in small(batches):
+            if some.num_rows:
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 rows, chars, tokens, crossing = [], [], [], []
                 for text, ids in zip(texts, bpe.encode(texts), strict=True):
@@ -82,4 +82,4 @@ def attribute(docs: DataFrame, tokenizer: str, pattern: str, rule: str = "start"
                     names=[x.split()[0] for x in COUNTS.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, COUNTS)
+    return id_and_text(docs).mapInArrow(run, COUNTS)
