@@ -1,14 +1,13 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
-Candidates are cut into blocks. In a block, each dimension is a list sorted by value, which a query reads
-from the top where its own component is positive and from the bottom where it is negative. All lists
-are read to the same depth, in rounds. What has been read gives each candidate a lower bound
-(unread components at the list's far end) and an upper bound (unread ones at the place the reading
-has come to). With the lists' frontier the upper bound of a whole block is one product of matrices: a
-component not yet read is replaced by the frontier. A query stops when no other candidate's upper
-bound reaches its k-th best lower bound, which includes the k best found in earlier blocks; what
-is left in question is then resolved to final scores. Reading the lists to their end is the last round,
-so results are exact for any data.
+Candidates are cut into blocks. In a block, each dimension is a list sorted by value, built once. A query reads it
+from the top where its own component is positive and from the bottom where it is negative, a step of entries at a time, and deeper in
+the lists that matter more to it: by its component's size times the list's spread. What it has read gives each candidate seen
+a lower bound (components not read are at the list's far end) and an upper bound (they are where the reading has come to). A candidate
+never seen is bounded by the sum of the places the reading has come to. Candidates whose upper bound is below the k-th best lower bound,
+which includes the k best of earlier blocks, are closed for good. When that sum falls below it no outsider can
+qualify, and reading stops as soon as few candidates are open; only these are resolved to final scores. Where the bounds don't close
+the lists are read to their end, which is the final score, so results are exact for any data.
 
 Blocks of queries meet blocks of candidates by an equi-join on block numbers; each group of candidate
 blocks passes on k rows a query. Nothing is broadcast.
@@ -29,11 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import ragged
+
 BLOCK = 2048
 QUERY_BLOCK = 1024
 #: Blocks of queries whose results a task keeps at a time.
 HELD = 32
-ROUNDS = (0.06, 0.2, 0.5, 1.0)
+#: Steps in which all lists would be read to their end.
+STEPS = 12
+#: Open candidates, for each of the k, at which reading stops and final scores are resolved.
+RESOLVED = 6
 PACKED = "block long, dims int, ids binary, data binary"
 
 
@@ -69,9 +73,8 @@ class Best:
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
         self.k = k
-
-    def floor(self) -> np.ndarray:
-        return self.score[:, -1]
+        #: Of each query: list entries read, candidates resolved, list entries there are.
+        self.read = np.zeros((queries, 3), dtype=np.int64)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate((self.score[q], scores)), np.concatenate((self.id[q], ids))
@@ -79,44 +82,84 @@ class Best:
         self.score[q], self.id[q] = s[order], i[order]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best, rounds: tuple[float, ...] = ROUNDS) -> int:
-    """Merge a block's candidates into ``best``; the number of (query, candidate) scores resolved."""
-    n, dims = x.shape
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    ordered = np.sort(x, axis=0)
-    low, high = (ordered[0], ordered[-1]) if n else (np.zeros(dims),) * 2
-    live = np.arange(len(queries))
-    resolved = 0
-    for share in rounds:
-        if not len(live):
-            break
-        depth = min(n, max(1, int(np.ceil(share * n))))
-        if depth == n:
-            upper = lower = queries[live] @ x.T
-        else:
-            from_top, from_end = ordered[n - depth], ordered[depth - 1]
-            read_top, read_end = x >= from_top, x <= from_end
-            upper = up[live] @ np.minimum(np.where(read_top, x, from_top), high).T + down[live] @ np.where(read_end, x, from_end).T
-            lower = up[live] @ np.where(read_top, x, low).T + down[live] @ np.where(read_end, x, high).T
-        own = query_ids[live, None] == ids[None, :]
-        lower = np.where(own, -np.inf, lower)
-        upper = np.where(own, -np.inf, upper)
-        k = min(best.k, n)
-        reach = np.maximum(best.floor()[live], np.partition(lower, n - k, axis=1)[:, n - k] if k == best.k else -np.inf)
-        open_ = (upper >= reach[:, None]) & (upper > -np.inf)
-        few = open_.sum(1) <= max(4 * best.k, n // 32)
-        done = np.ones(len(live), dtype=bool) if depth == n else few
-        for r in np.flatnonzero(done):
-            c = np.flatnonzero(open_[r])
-            if len(c):
-                resolved += len(c)
-                best.add(live[r], upper[r, c] if depth == n else x[c] @ queries[live[r]], ids[c])
-        live = live[~done]
-    return resolved
+class Lists:
+    """The sorted lists of a block: of each dimension the candidates' rows and values, the largest first."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, (self.n, self.dims) = x, x.shape
+        rows = np.argsort(-x, axis=0, kind="stable").T
+        self.rows = np.ascontiguousarray(rows).ravel()
+        self.values = np.take_along_axis(x.T, rows, axis=1).ravel()
+
+
+UNSEEN, OPEN, CLOSED = 0, 1, 2
+
+
+def search(lists: Lists, query: np.ndarray, out: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(rows that may be among the k best, their scores, entries read, candidates resolved). Rows that are ``out`` take no part,
+    nor do scores below ``floor``."""
+    n, use = lists.n, np.flatnonzero(query)
+    weight = query[use]
+    forward = np.where(weight > 0, 1, -1)
+    begin = use * n + np.where(weight > 0, 0, n - 1)
+    front = weight * lists.values[begin]
+    far = weight * lists.values[begin + forward * (n - 1)]
+    pull = front - far
+    depth = np.zeros(len(use), dtype=np.int64)
+    known = np.zeros(n)
+    seen = np.zeros((n, len(use)))
+    state = np.where(out, CLOSED, UNSEEN).astype(np.uint8)
+    open_ = np.zeros(0, dtype=np.int64)
+    outsiders = True
+    step = n * len(use) / STEPS
+    read = 0
+    while True:
+        left = np.where(pull > 0, n - depth, 0)
+        if not left.any():  # what is not read is the same for all
+            rows = np.flatnonzero(state < CLOSED) if outsiders else open_
+            return rows, known[rows] + front.sum() - seen[rows] @ front, read, 0
+        share = np.where(left > 0, pull, 0)
+        take = np.minimum(left, np.ceil(step * share / share.sum()).astype(np.int64))
+        read += int(take.sum())
+        column = np.repeat(np.arange(len(use)), take)
+        at = ragged(np.zeros(len(use), dtype=np.int64), take) * forward[column] + (begin + forward * depth)[column]
+        row = lists.rows[at]
+        fits = state[row] < CLOSED if outsiders else state[row] == OPEN
+        row, column, value = row[fits], column[fits], lists.values[at[fits]]
+        known += np.bincount(row, weights=weight[column] * value, minlength=n)
+        seen[row, column] = 1
+        depth += take
+        moved = take > 0
+        front[moved] = weight[moved] * lists.values[(begin + forward * (depth - 1))[moved]]
+        if outsiders:
+            state[row] = OPEN
+            open_ = np.flatnonzero(state == OPEN)
+        bounds = seen[open_] @ np.stack((front, far), axis=1)
+        upper, lower = known[open_] + front.sum() - bounds[:, 0], known[open_] + far.sum() - bounds[:, 1]
+        if len(open_) >= k:
+            floor = max(floor, float(np.partition(lower, len(open_) - k)[len(open_) - k]))
+        gone = upper < floor
+        state[open_[gone]] = CLOSED
+        open_ = open_[~gone]
+        outsiders = outsiders and front.sum() >= floor
+        if not outsiders and len(open_) <= RESOLVED * k:
+            return open_, lists.x[open_] @ query, read, len(open_)
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
+    """Merge a block's candidates into ``best``, with the entries that were read."""
+    if not len(x):
+        return
+    lists = Lists(x)
+    for i, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
+        rows, scores, read, resolved = search(lists, q, ids == own, best.score[i, -1], best.k)
+        best.add(i, scores, ids[rows])
+        best.read[i] += (read, resolved, x.size)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best other rows. Queries are rows whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score: each query's k best other rows; read_share and resolved tell of the query which share of the
+    lists' entries it read and how many candidates were resolved. Queries are rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(
@@ -141,7 +184,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
         def results() -> Iterator[pd.DataFrame]:
             for q_ids, _, best in held.values():
                 row, col = np.nonzero(best.score > -np.inf)
-                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64)})
+                told = np.where((col == 0)[:, None], best.read[row], 0)
+                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64), "read": told[:, 0], "resolved": told[:, 1], "entries": told[:, 2]})
             held.clear()
 
         for frame in frames:
@@ -156,6 +200,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
                 search_block(q, q_ids, np.frombuffer(r.data).reshape(len(ids), r.dims), ids, best)
         yield from results()
 
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long, read long, resolved long, entries long")
+    of = Window.partitionBy("query_id")
+    ranked = found.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("int"))
+    ranked = ranked.withColumns({"read_share": F.coalesce(F.try_divide(F.sum("read").over(of), F.sum("entries").over(of)), F.lit(0.0)), "resolved": F.sum("resolved").over(of)})
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "read_share", "resolved")
