@@ -1,8 +1,10 @@
 """A corpus pipeline over ``documents``: language, quality, near-duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``. Its result is written to the shared folder and read again. Null ids, null texts and repeated rows pass through each stage as its
-operator defines; an empty table gives an empty result.
+return the columns of ``documents``. Its result is written to the shared folder and read again.
+
+Cases: null, empty and letterless texts go in the first stage; rows with null ids pass through all stages; of repeated rows and of
+copies one stays; an empty table gives an empty result; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import jaccard, language, packing_concat, quality
-from scriptorium.llm._common import written
+from scriptorium.llm._common import free_prefix, fresh, written
 
 #: A document's language must be at least so sure.
 SURE = 0.5
@@ -21,16 +23,19 @@ GOOD = 0.7
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters to tell a language by, that are in none of the languages, or have none surer than SURE."""
+    """Documents go that have no letters to tell a language by, that are in none of the languages, or have none surer than SURE.
+    A document's own ``lang`` is no evidence, as the text model learns from that column."""
     model = language.fit(*language.training_rows(docs))
-    found = language.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), out="_language_")
-    return found.where(F.col("_language_text_id").isNotNull() & (F.col("_language_id") != language.OTHER) & (F.col("_language_confidence") >= SURE)).select(*docs.columns)
+    out = free_prefix(docs, "_language_")
+    found = language.identify(docs, model, F.col("text"), F.lit(None), F.col("source"), out=out)
+    return found.where(F.col(f"{out}text_id").isNotNull() & (F.col(f"{out}id") != language.OTHER) & (F.col(f"{out}confidence") >= SURE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that score under GOOD."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="_quality_score")
-    return scored.where(F.col("_quality_score") >= GOOD).select(*docs.columns)
+    score = fresh(docs, "_quality_score")
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name=score)
+    return scored.where(F.col(score) >= GOOD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
