@@ -23,7 +23,7 @@ SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 PLAIN = 0x2100
 # Fixed value: the one pre-token pattern that _cut follows.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHARS_A_SLICE = 1 << 19
+CHARS_A_SLICE = 1 << 17
 MOST_KEPT = 750_000
 
 

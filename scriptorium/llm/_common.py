@@ -82,7 +82,7 @@ def by_texts(column: pa.Array, make: Callable[[list[str | None]], list], kind: p
 
 
 #: Rows and bytes of an Arrow batch of texts, at most; one text may exceed the bytes.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def bound_batches(spark: SparkSession) -> None:
 _held: dict[Hashable, Any] = {}
 _lean = False
 #: From so many bytes on, an allocation is given back to the system when it is freed.
-MAPPED = 1 << 20
+MAPPED = 2 << 20
 
 
 def _be_lean() -> None:
@@ -136,6 +136,28 @@ def held(key: Hashable, make: Callable[[], Any] | None = None) -> Any:
     return _held[key]
 
 
+#: Keys that are broadcast for holding many rows, at most; and the rows a key must hold for it, at least.
+MOST_HOT, LEAST_HOT = 2000, 2000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` (left) with the columns of ``groups``, which has a row for each ``key`` and in ``size`` how many of the ``total`` rows have
+    it. Keys of more than one in MOST_HOT of all rows, so MOST_HOT of them at most, are broadcast, and their rows are dealt
+    out evenly instead of meeting in one task."""
+    others = [c for c in groups.columns if c not in (key, size)]
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot, cold = free_prefix(rows, "_hot"), free_prefix(rows, "_cold")
+    many = groups.where(F.col(size) > limit).select(F.col(key).alias(f"{hot}_key"), F.struct(*others).alias(hot))
+    few = groups.where(F.col(size) <= limit).select(F.col(key).alias(f"{cold}_key"), F.lit(-1).cast("long").alias(f"{cold}_number"), F.struct(*others).alias(cold))
+    marked = rows.join(F.broadcast(many), F.col(key) == F.col(f"{hot}_key"), "left")
+    spread = F.col(f"{hot}_key").isNotNull() | F.col(key).isNull()
+    # Rows that have what they need get a number of their own, which no group has.
+    number = F.when(spread, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    at = F.when(~spread, F.col(key))
+    both = marked.withColumns({f"{hot}_at": at, f"{hot}_number": number}).join(few, F.col(f"{hot}_at").eqNullSafe(F.col(f"{cold}_key")) & (F.col(f"{hot}_number") == F.col(f"{cold}_number")), "left")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(hot)[c], F.col(cold)[c]).alias(c) for c in others])
+
+
 def bounded_texts(docs: DataFrame, chosen: list[tuple[int, Any]], most: int, label: Column | None = None) -> list[tuple[str, Any]]:
     """(text, label) of the ``chosen`` (doc_id, label), in that order: whole texts, of each label as many as hold ``most`` bytes.
     With a ``label`` column only rows that carry the label count. Where an id repeats, its shortest text counts, the first of equal

@@ -6,28 +6,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import joined_by_group, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every end of ``edges`` (a, b: long).
 
     Each round joins every vertex to its smallest neighbour, shortens the chains this makes,
-    and contracts; only roots that still have edges go on, so few rounds are needed.
+    and contracts; only roots that still have edges go on, so few rounds are needed. Most vertices may have one parent, so
+    parents are looked up once each and joined by group.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    total = labels.count()
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("v"), F.least("a", "low").alias("p"))
         up = written(up, "parents")
         while True:
-            shorter = written(up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.v"), "left").select("x.v", F.coalesce("y.p", "x.p").alias("p"), (F.coalesce("y.p", "x.p") != F.col("x.p")).alias("moved")), "parents")
+            parents = up.groupBy("p").agg(F.count("*").alias("n")).join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p")
+            shorter = written(joined_by_group(up, parents, "p", "n", total).select("v", "pp", (F.col("pp") != F.col("p")).alias("moved")), "parents")
             moved = not shorter.where("moved").isEmpty()
-            up = shorter.select("v", "p")
+            up = shorter.select("v", F.col("pp").alias("p"))
             if not moved:
                 break
-        labels = written(labels.join(up, labels["component"] == up["v"], "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+        sizes = labels.groupBy("component").agg(F.count("*").alias("n")).join(up.select(F.col("v").alias("component"), "p"), "component")
+        labels = written(joined_by_group(labels, sizes, "component", "n", total).select("id", F.coalesce("p", "component").alias("component")), "labels")
         a, b = up.select(F.col("v").alias("a"), F.col("p").alias("pa")), up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         edges = written(edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     return labels

@@ -3,7 +3,8 @@
 Vectors are scaled to unit length and cut in halves, and each half has its own codebook of k-means centres,
 fitted on a bounded sample. Pairs of centres are the cells of a product grid, in which every vector is stored.
 A vector visits cells in the order of its distance to them (the squared distances to the bisecting
-planes of both halves, summed), and stops beyond a reach. The reach is set on the sample:
+planes of both halves, summed): both halves' sequences are walked by a heap of cells whose neighbours have been visited. It stops
+beyond a reach. The reach is set on the sample:
 vectors are moved in random directions to exactly the threshold's similarity, and the reach is what finds the
 cell of the ``recall`` share of them. Pairs met in a cell are verified by their cosine in double precision.
 
@@ -20,19 +21,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import bound_batches, held, joined_by_group, written
 from ._graph import Union, components
 
-#: Vectors the codebooks are fitted on, at most.
-SAMPLE = 8192
-#: Vectors a cell of one label should hold, about; and centres of a half, at most.
-OCCUPANCY, MOST_CENTRES = 24, 256
+#: Vectors the codebooks are fitted on: at least, for each centre, and at most.
+SAMPLE, SAMPLE_EACH, MOST_SAMPLE = 8192, 32, 131_072
+#: Vectors a cell of one label should hold, about; and centres of a half, at most (16 million cells a label).
+OCCUPANCY, MOST_CENTRES = 24, 4096
 MEMBERS, VISITORS = 1024, 2048
 #: Rows that one call compares.
 ROWS_A_CALL = 16384
@@ -68,22 +70,33 @@ class Index:
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, reach: float) -> Iterator[tuple[int, int]]:
-    """Grid cells whose a[i] + b[j] is within ``reach``; both sequences are walked in ascending order."""
-    left, right = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    sa, sb = a[left], b[right]
-    for p in range(len(left)):
-        if sa[p] + sb[0] > reach:
+    """Grid cells (i, j) by ascending a[i] + b[j], up to ``reach``. A cell joins the heap when those before it in its row and in its
+    column have been visited, so the heap holds one cell a row at most."""
+    near_a, near_b = np.flatnonzero(a <= reach), np.flatnonzero(b <= reach)
+    left, right = near_a[np.argsort(a[near_a], kind="stable")], near_b[np.argsort(b[near_b], kind="stable")]
+    sa, sb = a[left].tolist(), b[right].tolist()
+    heap = [(sa[0] + sb[0], 0, 0)] if sa and sb else []
+    upto = [0] * len(sa)  # how many cells of each row have been visited
+    while heap:
+        distance, p, q = heappop(heap)
+        if distance > reach:
             return
-        for q in range(len(right)):
-            if sa[p] + sb[q] > reach:
-                break
-            yield int(left[p]), int(right[q])
+        yield int(left[p]), int(right[q])
+        upto[p] = q + 1
+        if q + 1 < len(sb) and (p == 0 or upto[p - 1] > q + 1):
+            heappush(heap, (sa[p] + sb[q + 1], p, q + 1))
+        if p + 1 < len(sa) and upto[p + 1] == q:
+            heappush(heap, (sa[p + 1] + sb[q], p + 1, q))
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
 
 
 def _planes(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+    d = _squares(x, centres)
     own = d.argmin(1)
-    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 1e-12))
+    apart = np.sqrt(np.maximum(_squares(centres, centres), 1e-12))
     h = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * apart[own])
     h[np.arange(len(x)), own] = 0
     return h**2
@@ -92,7 +105,7 @@ def _planes(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 10) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(steps):
-        own = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+        own = np.concatenate([_squares(x[lo : lo + 4096], centres).argmin(1) for lo in range(0, len(x), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=len(centres))
@@ -128,6 +141,7 @@ def _linked(q: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
 
 def _compare(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Counts of links and a spanning forest of the blocks in ``frame``."""
+    held(None)
     out = []
     for _, block in frame.groupby(["label", "dims", "cell", "qb", "mb"], sort=True):
         q, m = block[block["visit"]], block[~block["visit"]]
@@ -161,21 +175,23 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, recall: float
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("h1", F.when(good, F.xxhash64("label", "embedding"))).withColumn("h2", F.when(good, F.hash("label", "embedding")))
     classes = written(keyed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.first("label").alias("label")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    bound_batches(spark)
     lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
     indexes: dict[int, Index] = {}
     for r in sorted(lengths):
         if r.dims < 2:
             indexes[r.dims] = Index(r.dims, np.zeros((1, r.dims // 2)), np.zeros((1, r.dims - r.dims // 2)), np.inf)
             continue
-        sample = classes.where(F.size("embedding") == r.dims).orderBy(F.xxhash64("low"), "low", "h1", "h2").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+        centres = int(np.clip(np.ceil(np.sqrt(r.n / max(1, r.labels) / OCCUPANCY)), 1, MOST_CENTRES))
+        sample = classes.where(F.size("embedding") == r.dims).orderBy(F.xxhash64("low"), "low", "h1", "h2").limit(min(MOST_SAMPLE, max(SAMPLE, SAMPLE_EACH * centres))).select("embedding").toPandas()["embedding"]
         x = np.stack(sample.to_list())
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = int(np.clip(np.ceil(np.sqrt(r.n / max(1, r.labels) / OCCUPANCY)), 1, MOST_CENTRES))
         indexes[r.dims] = fit(x, centres, similarity, recall)
     shared = spark.sparkContext.broadcast(indexes)
 
     def index_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held(None)
         for frame in frames:
             for dims, own in frame.groupby(frame["embedding"].map(len)):
                 x = np.stack(own["embedding"].to_list()).astype(float)
@@ -206,7 +222,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, recall: float
     else:
         salted = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         named = linked.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"], "left")
-    done = named.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
-    out = keyed.select("vec_id", "h1", "h2").join(done, ["h1", "h2"], "left")
+    done = named.select(F.struct("h1", "h2").alias("h"), "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
+    usable, rest = keyed.where("h1 is not null").select("vec_id", F.struct("h1", "h2").alias("h")), keyed.where("h1 is null").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = joined_by_group(usable, done, "h", "weight", rows.count()).drop("h").unionByName(rest)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

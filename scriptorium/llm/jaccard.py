@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_texts, fresh, held, id_and_text, mix, slices, small, written
+from ._common import by_texts, fresh, held, id_and_text, joined_by_group, mix, slices, small, written
 from ._graph import Union, components
 from ._words import shingles, words
 
-CHARS = 1 << 19
+CHARS = 1 << 17
 #: Shingles that a task sums up before it sends them, and texts at most (their numbers are 16-bit).
 CHUNK_SHINGLES, CHUNK_TEXTS = 1_000_000, 60_000
 #: Shingles that one call looks at, about.
@@ -45,8 +45,20 @@ BUCKET_SHINGLES = 500_000
 BYTES_A_SHINGLE = 5
 WITNESS = 65_535
 GROUP, CALL_SETS, ASKING = 256, 1_000, 512
-BITS = 1 << 26
-SCANNED = "kind int, bucket long, doc_id long, n long, sig long, chunk long, idx int, own long, prints binary, owners binary"
+#: Bits of the bitmap of wanted texts: at least, for each of them, and at most (128 MB).
+LEAST_BITS, BITS_EACH, MOST_BITS = 1 << 26, 16, 1 << 30
+SCANNED = "kind int, bucket long, doc_id long, n long, sig long, chunk long, idx int, own long, prints binary, owners binary, subs binary"
+MET = "kind int, doc_id long, n long, sig long, chunk long, idx int, own long, owners binary, counts binary"
+#: Buckets that a chunk is dealt out to, at most, so that packets stay long however large the input is; beyond that buckets are cut
+#: into parts where they have been received.
+WIDE = 2048
+#: Shingles that a task cuts into parts at a time, and counts it adds up before it passes them on.
+CUT_SHINGLES, ADDED_COUNTS = 8_000_000, 2_000_000
+KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], KINDS[x.split()[1]]) for x in columns.split(", ")])
 
 
 def signature(own: np.ndarray) -> int:
@@ -64,8 +76,8 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         yield from zip(ids[a:b], shingles(words(texts[a:b])), strict=True)
 
 
-def _scan(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (kind 0), and packed prints with their owners by bucket (kind 1)."""
+def _scan(docs: DataFrame, buckets: int, parts: int = 1) -> DataFrame:
+    """Rows of documents (kind 0), and packed prints with their owners by bucket (kind 1), in the order of the bucket's ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(None)
@@ -89,18 +101,18 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(np.append(np.flatnonzero(fresh), len(tokens)))
             shared = np.repeat(size > 1, size)
             own = np.bincount(owner[shared], minlength=len(sets))
-            send = fresh
-            owner = np.where(shared, np.uint16(WITNESS), owner)[send]
-            tokens = tokens[send]
-            # A bucket is a range of the upper half, the print is the lower half.
-            bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.lexsort((tokens & np.uint64(0xFFFFFFFF), bucket))
-            bucket, prints, owner = bucket[by], tokens[by].astype(np.uint32), owner[by]
+            owner = np.where(shared, np.uint16(WITNESS), owner)[fresh]
+            tokens = tokens[fresh]
+            # A bucket is a range of the upper half, a part is a range of the bucket, and the print is the lower half.
+            upper = (tokens >> np.uint64(32)) * np.uint64(buckets)
+            bucket, sub = (upper >> np.uint64(32)).astype(np.int64), ((upper & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype("<u4")
+            by = np.lexsort((tokens & np.uint64(0xFFFFFFFF), sub, bucket))
+            bucket, sub, prints, owner = bucket[by], sub[by], tokens[by].astype(np.uint32), owner[by]
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, dtype=np.int64)
             records = [dict(kind=0, bucket=-1 - ((chunk >> 24) + (chunk & 0xFFFFFF)) % buckets, doc_id=d, n=n, sig=s, chunk=chunk, idx=i, own=int(own[i]) if i >= 0 else 0) for d, n, s, i in rows]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 planes = prints[a:b].view(np.uint8).reshape(-1, 4)[:, ::-1].T
-                records.append(dict(kind=1, bucket=int(bucket[a]), chunk=chunk, prints=planes.tobytes(), owners=owner[a:b].tobytes()))
+                records.append(dict(kind=1, bucket=int(bucket[a]), chunk=chunk, prints=planes.tobytes(), owners=owner[a:b].tobytes(), subs=sub[a:b].tobytes() if parts > 1 else None))
             rows.clear()
             sets.clear()
             number.clear()
@@ -122,11 +134,24 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield flush()
 
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in SCANNED.split(", ")])
+    schema = _schema(SCANNED)
     return id_and_text(docs).mapInArrow(run, SCANNED)
 
 
+def _prints(packed: bytes) -> np.ndarray:
+    """Prints from their byte planes, the highest bytes first."""
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1)[::-1].T).view(np.uint32).ravel()
+
+
+def _shared(prints: np.ndarray, owners: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """source * 65536 + owner of each text that shares prints with another, and how many."""
+    order = np.argsort(prints, kind="stable")
+    same = prints[order][1:] == prints[order][:-1]
+    hit = order[np.append(same, False) | np.append(False, same)]
+    hit = hit[owners[hit] != WITNESS]
+    return np.unique(source[hit] * 65536 + owners[hit], return_counts=True)
+
+
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     """Documents as they are; of a bucket, how many of each text's prints another text has: one row a chunk,
     with the texts' numbers and their counts packed."""
@@ -136,21 +161,110 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     documents = frame[frame["kind"] == 0].reindex(columns=keep)
     if not len(packed):
         return documents
-    prints = np.concatenate([np.ascontiguousarray(np.frombuffer(p, dtype=np.uint8).reshape(4, -1)[::-1].T).view(np.uint32).ravel() for p in packed["prints"]])
     owners = np.concatenate([np.frombuffer(o, dtype=np.uint16) for o in packed["owners"]])
     source = np.repeat(np.arange(len(packed)), [len(o) // 2 for o in packed["owners"]])
-    order = np.argsort(prints, kind="stable")
-    same = prints[order][1:] == prints[order][:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    hit = order[shared]
-    hit = hit[owners[hit] != WITNESS]
-    code, count = np.unique(source[hit] * 65536 + owners[hit], return_counts=True)
+    code, count = _shared(np.concatenate([_prints(p) for p in packed["prints"]]), owners, source)
     cuts = np.searchsorted(code, np.arange(len(packed) + 1) * 65536)
     found = [(c, (code[a:b] % 65536).astype(np.uint16).tobytes(), count[a:b].astype(np.uint32).tobytes()) for c, a, b in zip(packed["chunk"], cuts[:-1], cuts[1:], strict=True) if b > a]
     out = pd.DataFrame(found, columns=["chunk", "owners", "counts"]).assign(kind=np.int32(1))
     return pd.concat((documents, out.reindex(columns=keep)))
 
 
+CUT = "kind int, bucket long, sub long, doc_id long, n long, sig long, chunk long, idx int, own long, prints binary, owners binary, chunks binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as they are; received packets, many at a time, cut anew by bucket and part, each print with its chunk."""
+    held(None)
+    schema, waiting, size = _schema(CUT), [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal waiting, size
+        n = [len(r["owners"]) // 2 for r in waiting]
+        bucket, chunk = (np.repeat(np.array([r[k] for r in waiting], dtype=np.int64), n) for k in ("bucket", "chunk"))
+        prints, owners, subs = np.concatenate([_prints(r["prints"]) for r in waiting]), *(np.concatenate([np.frombuffer(r[k], dtype=t) for r in waiting]) for k, t in (("owners", np.uint16), ("subs", "<u4")))
+        by = np.lexsort((subs, bucket))
+        bucket, chunk, prints, owners, subs = (x[by] for x in (bucket, chunk, prints, owners, subs))
+        edges = np.append(np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (subs[1:] != subs[:-1]))), len(bucket)).tolist()
+        out = [dict(kind=1, bucket=int(bucket[a]), sub=int(subs[a]), prints=prints[a:b].tobytes(), owners=owners[a:b].tobytes(), chunks=chunk[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        waiting, size = [], 0
+        return pa.RecordBatch.from_pylist(out, schema=schema)
+
+    for batch in batches:
+        documents = []
+        for r in batch.to_pylist():
+            if r["kind"] == 0:
+                documents.append(r | {"sub": -1, "prints": None, "owners": None})
+                continue
+            waiting.append(r)
+            size += len(r["owners"]) // 2
+            if size >= CUT_SHINGLES:
+                yield flush()
+        if documents:
+            yield pa.RecordBatch.from_pylist(documents, schema=schema)
+    if waiting:
+        yield flush()
+
+
+def _meet_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _meet, over rows sorted by bucket and part: one part is held at a time, and counts are added up by chunk over many parts."""
+    held(None)
+    schema = _schema(MET)
+    codes: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    numbers: dict[int, int] = {}
+    part: tuple[int, int] | None = None
+    own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet() -> None:
+        prints, owners, chunks = (np.concatenate(x) for x in zip(*own, strict=True))
+        here, at = np.unique(chunks, return_inverse=True)
+        source = np.array([numbers.setdefault(c, len(numbers)) for c in here.tolist()], dtype=np.int64)[at]
+        code, count = _shared(prints, owners, source)
+        codes.append(code)
+        counts.append(count)
+        own.clear()
+
+    def flush() -> pa.RecordBatch:
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.uint32)
+        names, edges = list(numbers), np.searchsorted(code, np.arange(len(numbers) + 1) * 65536).tolist()
+        out = [dict(kind=1, chunk=c, owners=(code[a:b] % 65536).astype(np.uint16).tobytes(), counts=count[a:b].tobytes()) for c, a, b in zip(names, edges[:-1], edges[1:], strict=True) if b > a]
+        codes.clear()
+        counts.clear()
+        numbers.clear()
+        return pa.RecordBatch.from_pylist(out, schema=schema)
+
+    for batch in batches:
+        documents = []
+        for r in batch.to_pylist():
+            if r["kind"] == 0:
+                documents.append({k: r[k] for k in ("kind", "doc_id", "n", "sig", "chunk", "idx", "own")})
+                continue
+            if own and part != (r["bucket"], r["sub"]):
+                meet()
+                if sum(map(len, codes)) >= ADDED_COUNTS:
+                    yield flush()
+            part = r["bucket"], r["sub"]
+            own.append((np.frombuffer(r["prints"], dtype=np.uint32), np.frombuffer(r["owners"], dtype=np.uint16), np.frombuffer(r["chunks"], dtype=np.int64)))
+        if documents:
+            yield pa.RecordBatch.from_pylist(documents, schema=schema)
+    if own:
+        meet()
+    if codes:
+        yield flush()
+
+
+def _met(docs: DataFrame, buckets: int) -> DataFrame:
+    """Documents and the packed counts of their shared prints (see MET). Buckets hold about BUCKET_SHINGLES each; where there are more than
+    WIDE of them, their parts take their place."""
+    parts = -(-buckets // WIDE)
+    if parts == 1:
+        return _scan(docs, buckets).groupBy("bucket").applyInPandas(_meet, MET)
+    received = _scan(docs, WIDE, parts).repartition(WIDE, "bucket")
+    return received.mapInArrow(_cut, CUT).sortWithinPartitions("bucket", "sub").mapInArrow(_meet_parts, MET)
+
+
 def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
     """All of a chunk's counts."""
     held(None)
@@ -162,11 +276,13 @@ def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, n, tokens of the texts whose signature is in ``wanted``. They are found by a bitmap of a
-    fixed size; a false hit only adds a set that joins nothing."""
-    at = F.pmod(F.col("sig"), F.lit(BITS)) + 1  # these bitmaps count from one
+    """sig, n, tokens of the texts whose signature is in ``wanted``. They are found by a bitmap of bounded
+    size; a false hit only adds a set that joins nothing."""
+    wanted = written(wanted, "wanted")
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * wanted.count()).bit_length()))
+    at = F.pmod(F.col("sig"), F.lit(size)) + 1  # these bitmaps count from one
     parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
+    bitmap = np.zeros(size // 8, dtype=np.uint8)
     for r in parts:
         bitmap[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -178,7 +294,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for _, own in _sets(batch):
                 sig = signature(own)
-                bit = sig % BITS
+                bit = sig % size
                 if len(own) and bits[bit >> 3] >> (bit & 7) & 1 and sig not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
@@ -252,7 +368,8 @@ def _open_shingles(sets: DataFrame) -> DataFrame:
 
     rows = sets.select("sig", "n", "comp", "tokens").mapInArrow(explode, "sig long, n long, comp long, t long")
     among = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where("lo < hi").select("t", "sets")
-    back = rows.join(among, "t").groupBy("sig").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("sets", "t")).alias("open"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    back = joined_by_group(rows, among.withColumn("of", F.col("sets")), "t", "of", int(total)).where("sets is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("sets", "t")).alias("open"))
     return back.where(4 * F.size("open") >= 3 * F.col("n"))
 
 
@@ -304,7 +421,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sig and component (of signatures): a row for each of ``docs``."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(8, -(-int(size) // (BYTES_A_SHINGLE * BUCKET_SHINGLES)))
-    met = written(_scan(docs, buckets).groupBy("bucket").applyInPandas(_meet, "kind int, doc_id long, n long, sig long, chunk long, idx int, own long, owners binary, counts binary"), "met")
+    met = written(_met(docs, buckets), "met")
     rows = met.where("kind = 0").select("doc_id", "n", "sig", "chunk", "idx", "own")
     counts = met.where("kind = 1").select("chunk", "owners", "counts").groupBy("chunk").applyInPandas(_add_up, "chunk long, idx int, more long")
     texts = rows.where("n > 0").groupBy("chunk", "idx").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("own").alias("own"))
@@ -322,14 +439,16 @@ def classes(docs: DataFrame) -> DataFrame:
         if not left.isEmpty():
             edges = edges.unionByName(_exact_links(left))
             labels = components(edges)
-    return rows.join(labels.withColumnRenamed("id", "sig"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "sig").alias("component"))
+    # Copies share a signature, and so do all texts without words.
+    copies = rows.where("n > 0").groupBy("sig").agg(F.count("*").alias("of")).join(labels.withColumnRenamed("id", "sig"), "sig")
+    return joined_by_group(rows, copies, "sig", "of", rows.count()).select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "sig").alias("component"))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each of ``docs``."""
     found = written(classes(docs), "classes")
-    lowest = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return found.join(lowest, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    lowest = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("of"))
+    return joined_by_group(found, lowest, "component", "of", found.count()).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 #: Ids that are broadcast, at most; above that the join shuffles.
@@ -345,8 +464,8 @@ def distinct(docs: DataFrame) -> DataFrame:
     it has an id, any one. Rows without words all stay."""
     name = fresh(docs, "_id")
     found = written(classes(docs), "classes").where("n_shingles > 0")
-    lowest = found.groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    placed = written(found.join(lowest, "component").select("doc_id", "component", "lowest", "sig"), "placed")
+    lowest = found.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("of"))
+    placed = written(joined_by_group(found, lowest, "component", "of", found.count()).select("doc_id", "component", "lowest", "sig"), "placed")
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.withColumn(name, F.col("doc_id").cast("long"))
     known = rows.where(worded & F.col(name).isNotNull())

@@ -41,7 +41,7 @@ LEAST_TRIGRAMS = 60
 #: Trigrams a text may count for, of which one is chosen, and the share of labels taken for wrong when it is.
 WEIGHTS = (2.0, 4.0, 8.0, 15.0, 30.0, 60.0, 120.0, 240.0)
 WRONG_LABELS = 0.01
-CHARS = 1 << 19
+CHARS = 1 << 17
 #: Groups of the smoothing weigh as much as so many rows.
 STRENGTH = 5.0
 #: Rows of a looked-up table that are broadcast, at most; above that a salted join takes over.
@@ -235,6 +235,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         held(None)
         return by_texts(texts, lambda some: list(shared.value.evidence(some)), pa.list_(pa.float64()))
 
+    evidence = evidence.asNondeterministic()  # so that a filter on it doesn't evaluate it twice
     k = {x: f"{out}{x}" for x in ("text", "own", "tag", "suffix", "domain", "key", "tags", "suffixes", "domains", "hosts", "hints")}
     name = F.coalesce(F.lower(F.trim(host.cast("string"))), F.lit(""))
     parts = F.split(name, r"\.")
@@ -251,7 +252,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         k["suffix"]: F.when(size > 1, F.get(parts, size - 1)).otherwise(""),
     })
     keys = ["tag", "suffix", "domain", "key"]
-    sums = base.where(speaks).select(*[F.col(k[x]).alias(x) for x in keys], *[F.col(k["own"])[j].alias(f"c{j}") for j in range(len(langs))])
+    sums = base.select(*[F.col(k[x]).alias(x) for x in keys], *[F.col(k["own"])[j].alias(f"c{j}") for j in range(len(langs))])
     seen = written(sums.groupBy(*keys).agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(len(langs))]), "hosts")
     totals = {x: np.array([v or 0.0 for v in seen.where(F.lit(True) if x is None else F.col(x) != "").agg(*[F.sum(f"c{j}") for j in range(len(langs))]).first()]) for x in (None, "tag", "suffix")}
     hosts = _sums(seen.select("key", *[f"c{j}" for j in range(len(langs))]), "key", len(langs)).select(F.col("key").alias(k["key"]), F.col("c").alias(k["hosts"]))

@@ -32,7 +32,7 @@ SAMPLE_ROWS = 8000
 #: Bytes of their texts, at most, for each label.
 SAMPLE_BYTES = 32 << 20
 ECHO = np.uint64(0x1D8E4E27C47D124F)
-CHARS = 1 << 19
+CHARS = 1 << 17
 
 
 def index_vectors(terms: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -166,7 +166,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         held(None)
         return by_texts(texts, lambda some: shared.value.score(some), pa.float64())
 
-    return docs.withColumn(fresh(docs, name), score(F.col("text").cast("string")))
+    # Not deterministic in the planner's eyes, so that a filter on the score doesn't evaluate it twice.
+    return docs.withColumn(fresh(docs, name), score.asNondeterministic()(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
