@@ -8,8 +8,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _known(value: Column, *parts: Column) -> Column:
+    """``value`` where no part is null, else null: greatest and least pass over nulls."""
+    known = parts[0].isNotNull()
+    for p in parts[1:]:
+        known = known & p.isNotNull()
+    return F.when(known, value)
+
+
+def least(*parts: Column) -> Column:
+    return _known(F.least(*parts), *parts)
+
+
+def greatest(*parts: Column) -> Column:
+    return _known(F.greatest(*parts), *parts)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """M3; null stays null."""
+    return greatest(F.lit(low), least(F.lit(high), x))
 
 
 def half_up(x: Column) -> Column:
@@ -26,21 +43,21 @@ def linspace(low: Column, high: Column, steps: Column) -> Column:
 
 def overlap(ax, ay, aw, ah, bx, by, bw, bh) -> Column:  # noqa: ANN001
     """Area that two boxes share."""
-    w = F.least(ax + aw, bx + bw) - F.greatest(ax, bx)
-    h = F.least(ay + ah, by + bh) - F.greatest(ay, by)
-    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+    w = least(ax + aw, bx + bw) - greatest(ax, bx)
+    h = least(ay + ah, by + bh) - greatest(ay, by)
+    return greatest(w, F.lit(0.0)) * greatest(h, F.lit(0.0))
 
 
 def iou(ax, ay, aw, ah, bx, by, bw, bh) -> Column:  # noqa: ANN001
     """M4: intersection over union, 0 for boxes without area."""
     both = overlap(ax, ay, aw, ah, bx, by, bw, bh)
     union = aw * ah + bw * bh - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+    return F.when(union > 0, both / union).when(union.isNotNull(), 0.0)
 
 
 def contained(ax, ay, aw, ah, bx, by, bw, bh) -> Column:  # noqa: ANN001
     """Share of box b that lies in box a."""
-    return F.when(bw * bh > 0, overlap(ax, ay, aw, ah, bx, by, bw, bh) / (bw * bh)).otherwise(0.0)
+    return F.when(bw * bh > 0, overlap(ax, ay, aw, ah, bx, by, bw, bh) / (bw * bh)).when((bw * bh).isNotNull(), 0.0)
 
 
 def index_position(values: Column, value: Column) -> Column:
@@ -93,19 +110,19 @@ def unclipped(x, y, w, h, ratio: float) -> tuple[Column, Column, Column, Column]
 
 def dpi_scale(capital_height: Column, least: float, most: float) -> Column:
     """1 where the scale would be 1.05 or less."""
-    scale = F.least(F.lit(least) / capital_height, F.lit(most))
+    scale = _known(F.least(F.lit(least) / F.nullif(capital_height, F.lit(0)), F.lit(most)), capital_height)
     return F.when((capital_height <= 0) | (scale <= 1.05), 1.0).otherwise(scale)
 
 
 def rectification_confidence(area: Column, image: Column) -> Column:
     """M18."""
-    return F.least(area / image * 1.5, F.lit(0.95))
+    return least(area / image * 1.5, F.lit(0.95))
 
 
 def output_size(corners: Column) -> tuple[Column, Column]:
     """Width and height of a quadrilateral, the longer of opposite sides."""
     side = lambda a, b: F.hypot(corners[a]["x"] - corners[b]["x"], corners[a]["y"] - corners[b]["y"])
-    return F.greatest(side("topLeft", "topRight"), side("bottomLeft", "bottomRight")), F.greatest(side("topLeft", "bottomLeft"), side("topRight", "bottomRight"))
+    return greatest(side("topLeft", "topRight"), side("bottomLeft", "bottomRight")), greatest(side("topLeft", "bottomLeft"), side("topRight", "bottomRight"))
 
 
 def grid_scale(value: Column, low: float, high: float) -> Column:

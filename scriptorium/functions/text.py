@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .maths import greatest, least
+
 BLANKS = r"(?U)[\s﻿]+"
 FIRST_CODE = 0x100
 #: Code points from FIRST_CODE on, without surrogates.
 SURROGATES = 0xE000 - 0xD800
 MOST_CODES = 0x110000 - FIRST_CODE - SURROGATES
+#: The first codes' characters, which need no decoding.
+FIRST_CHARACTERS = "".join(map(chr, range(FIRST_CODE, FIRST_CODE + 0x400)))
 
 
 def trimmed(s: Column) -> Column:
@@ -48,9 +52,11 @@ def word_codes(words: Column, shared: Column, alone: int) -> Column:
 
     def code(w: Column) -> Column:
         at = F.array_position(shared, w)
-        point = F.when(at == 0, alone).otherwise(at + 1) + FIRST_CODE
+        place = F.when(at == 0, alone).otherwise(at + 1)
+        point = place + FIRST_CODE
         point = point + F.when(point >= 0xD800, SURROGATES).otherwise(0)
-        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        decoded = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(place < len(FIRST_CHARACTERS), F.substr(F.lit(FIRST_CHARACTERS), place.cast("int") + 1, F.lit(1))).otherwise(decoded)
 
     return F.array_join(F.transform(words, code), "")
 
@@ -58,15 +64,16 @@ def word_codes(words: Column, shared: Column, alone: int) -> Column:
 def word_distance(a: Column, b: Column, most: int = MOST_CODES) -> Column:
     """edit distance of two word arrays. Each word that both hold becomes one character, and so do all words of one
     side alone, which match nothing, so that the built-in distance applies; ``array_distance`` counts where that takes
-    more than ``most`` characters."""
-    shared = F.array_intersect(a, b)
-    return F.when(F.size(shared) + 2 <= most, F.levenshtein(word_codes(a, shared, 0), word_codes(b, shared, 1))).otherwise(array_distance(a, b))
+    more than ``most`` characters. The shared words are told once a pair."""
+    coded = lambda shared: F.levenshtein(word_codes(a, shared, 0), word_codes(b, shared, 1))
+    counted = F.get(F.transform(F.array(F.array_intersect(a, b)), lambda shared: F.when(F.size(shared) + 2 <= most, coded(shared))), F.lit(0))
+    return F.coalesce(counted, array_distance(a, b))
 
 
 def error_rate(distance: Column, truth: Column, guess: Column, clamp: bool = False) -> Column:
     """distance over the truth's length; with an empty truth 0, or 1 if there is a guess."""
-    rate = F.when(truth == 0, F.when(guess == 0, 0.0).otherwise(1.0)).otherwise(distance / truth)
-    return F.least(rate, F.lit(1.0)) if clamp else rate
+    rate = F.when(truth == 0, F.when(guess == 0, 0.0).when(guess > 0, 1.0)).otherwise(distance / truth)
+    return least(rate, F.lit(1.0)) if clamp else rate
 
 
 def char_error_rate(guess: Column, truth: Column, collapse: bool = True, clamp: bool = False) -> Column:
@@ -80,11 +87,11 @@ def word_error_rate(guess: Column, truth: Column) -> Column:
 
 
 def length_ratio(guess: Column, truth: Column) -> Column:
-    return guess / F.greatest(truth, F.lit(1))
+    return guess / greatest(truth, F.lit(1))
 
 
 def underproduction(guess: Column, truth: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (truth - guess) / F.greatest(truth, F.lit(1))))
+    return greatest(F.lit(0.0), least(F.lit(1.0), (truth - guess) / greatest(truth, F.lit(1))))
 
 
 def very_short(guess: Column, truth: Column) -> Column:
@@ -143,6 +150,11 @@ def clean_answer(answer: Column, label: Column) -> Column:
     return F.when(F.lower(bare).isin(*EMPTY_ANSWERS) | (F.lower(bare) == F.lower(label)), "").otherwise(bare)
 
 
+def joined_answer(parts: Column) -> Column:
+    """an answer in parts (texts): those that aren't empty, a line each, trimmed."""
+    return trimmed(F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), "\n"))
+
+
 def fnv1a(s: Column) -> Column:
     """32-bit FNV-1a over the code points of a text of the basic plane."""
     codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

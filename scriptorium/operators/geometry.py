@@ -1,4 +1,4 @@
-"""Boxes on pages.
+"""Boxes on pages.
 
 Boxes are columns x, y, width, height with an image id. What is order-dependent (greedy suppression, recursive
 cuts, rectangle merging) runs per image in grouped pandas; an image's boxes are few by nature.
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.maths import contained, iou
+from ..functions.maths import contained, greatest, iou, least
 
 BOX = ("x", "y", "width", "height")
 # The eleven layout classes by id, and the macro regions as shares of the page.
@@ -22,6 +22,8 @@ MACRO_REGIONS = (("header", "Header", 0, 0, 1, 0.15), ("address", "Address", 0,
 # Weights of macro regions.
 REGION_WEIGHTS = {"Body": 0.4, "Address": 0.2, "Meta": 0.15, "Header": 0.15, "Footer": 0.1}
 OTHER_WEIGHT = 0.1
+# The most intersection over union and the containment at which suppression keeps one of two boxes.
+SUPPRESSION = (0.6, 0.3)
 
 
 def region_weight(label: Column) -> Column:
@@ -45,17 +47,58 @@ def macro_regions(pages: DataFrame, width: str = "width", height: str = "height"
 
 def sanitised(xmin: Column, ymin: Column, xmax: Column, ymax: Column, sx: Column, sy: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
     """A detection in image pixels, two pixels off the edges and at least five wide and high."""
-    x = F.floor(F.greatest(F.lit(2.0), F.least(width - 10, xmin * sx)))
-    y = F.floor(F.greatest(F.lit(2.0), F.least(height - 10, ymin * sy)))
-    w = F.ceil(F.greatest(F.lit(5.0), F.least(width - x - 2, (xmax - xmin) * sx)))
-    h = F.ceil(F.greatest(F.lit(5.0), F.least(height - y - 2, (ymax - ymin) * sy)))
+    x = F.floor(greatest(F.lit(2.0), least(width - 10, xmin * sx)))
+    y = F.floor(greatest(F.lit(2.0), least(height - 10, ymin * sy)))
+    w = F.ceil(greatest(F.lit(5.0), least(width - x - 2, (xmax - xmin) * sx)))
+    h = F.ceil(greatest(F.lit(5.0), least(height - y - 2, (ymax - ymin) * sy)))
     return x, y, w, h
 
 
 def cropped(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
     """The part of a box that lies on the image, of at least one pixel."""
-    left, top = F.greatest(F.lit(0), F.floor(x)), F.greatest(F.lit(0), F.floor(y))
-    return left, top, F.greatest(F.lit(1), F.least(F.floor(w), width - left)), F.greatest(F.lit(1), F.least(F.floor(h), height - top))
+    left, top = greatest(F.lit(0), F.floor(x)), greatest(F.lit(0), F.floor(y))
+    return left, top, greatest(F.lit(1), least(F.floor(w), width - left)), greatest(F.lit(1), least(F.floor(h), height - top))
+
+
+# Pixels that a safe crop keeps off the edges, and its least size.
+SAFE_EDGE, SAFE_LEAST = 2, 10
+
+
+def safely_cropped(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, padding: float = 0) -> tuple[Column, Column, Column, Column]:
+    """A padded box SAFE_EDGE pixels off the image's edges and SAFE_LEAST pixels wide and high, or what the image leaves."""
+    edge, small = F.lit(SAFE_EDGE), F.lit(SAFE_LEAST)
+    left = F.floor(greatest(edge, least(width - SAFE_LEAST - SAFE_EDGE, x - padding)))
+    top = F.floor(greatest(edge, least(height - SAFE_LEAST - SAFE_EDGE, y - padding)))
+    return left, top, F.ceil(least(width - left - SAFE_EDGE, greatest(small, w + 2 * padding))), F.ceil(least(height - top - SAFE_EDGE, greatest(small, h + 2 * padding)))
+
+
+def table_cropped(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, padding: float = 0) -> tuple[Column, Column, Column, Column]:
+    """A padded box cut at the image's edges."""
+    left, top = greatest(F.lit(0), F.floor(x - padding)), greatest(F.lit(0), F.floor(y - padding))
+    return left, top, least(width - left, F.ceil(w + 2 * padding)), least(height - top, F.ceil(h + 2 * padding))
+
+
+# The classes whose regions are read as text.
+TEXT_LABELS = ("Text", "Title", "Section-header", "Caption", "List-item", "Page-header", "Page-footer", "Footnote", "Table")
+
+
+def detections(rows: DataFrame, least_score: float, width: Column, height: Column) -> DataFrame:
+    """Detections (xmin, ymin, xmax, ymax as shares of the image, score, id) of known classes and enough score, as boxes with a label."""
+    at = F.floor(F.col("id") + 0.5).cast("int")
+    label = F.get(F.array(*map(F.lit, LABELS)), at)
+    x, y, w, h = sanitised(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width, height, width, height)
+    known = rows.withColumn("label", label).where((F.col("score") >= least_score) & F.col("label").isNotNull())
+    return known.withColumns({"x": x, "y": y, "width": w, "height": h}).drop("xmin", "ymin", "xmax", "ymax", "id")
+
+
+def text_regions(regions: DataFrame, labels: tuple[str, ...] = TEXT_LABELS) -> DataFrame:
+    """P5: regions that are read as text."""
+    return regions.where(F.col("label").isin(*labels))
+
+
+def table_regions(regions: DataFrame) -> DataFrame:
+    """P5."""
+    return regions.where(F.col("label") == "Table")
 
 
 def hull(boxes: DataFrame, by: list[str]) -> DataFrame:
@@ -137,9 +180,10 @@ def _widest(spans: list[tuple[float, float]], origin: float | None) -> tuple[flo
     return best
 
 
-def reading_order(boxes: list[tuple], span_share: float = 0.9, page_width: float | None = None, least_gap: float = 0.0, depth: int = 10, origin: str = "zero") -> list[int]:
-    """Positions in reading order by recursive cuts at the widest gap (rows first on ties). Boxes
-    nearly as wide as the page are set aside and put back before the first box that starts below them."""
+def reading_order(boxes: list[tuple], span_share: float = 0.7, page_width: float | None = None, least_gap: float = 30.0, depth: int = 14, origin: str = "zero") -> list[int]:
+    """Positions in reading order by recursive cuts at the widest gap of ``least_gap`` or more (rows first on ties). Boxes
+    nearly as wide as the page are set aside and put back before the first box that starts below them. What can't be cut
+    is in the order of its upper edges, equal ones as given."""
     if not boxes:
         return []
     width = page_width or max(b[0] + b[2] for b in boxes)
@@ -147,7 +191,7 @@ def reading_order(boxes: list[tuple], span_share: float = 0.9, page_width: float
     free = [i for i in range(len(boxes)) if i not in set(masked)]
 
     def by_place(own: list[int]) -> list[int]:
-        return sorted(own, key=lambda i: (boxes[i][1], boxes[i][0], i))
+        return sorted(own, key=lambda i: (boxes[i][1], i))
 
     def cut(own: list[int], level: int) -> list[int]:
         if len(own) < 2 or level >= depth:
@@ -156,7 +200,7 @@ def reading_order(boxes: list[tuple], span_share: float = 0.9, page_width: float
         for axis in (1, 0):
             start = 0.0 if origin == "zero" else None
             gap = _widest([(boxes[i][axis], boxes[i][axis] + boxes[i][axis + 2]) for i in own], start)
-            if gap and gap[0] > least_gap:
+            if gap and gap[0] >= least_gap:
                 found.append((gap[0], axis, gap[1]))
         if not found:
             return by_place(own)
@@ -185,17 +229,32 @@ def ordered(boxes: DataFrame, by: str, box_id: str, **options: object) -> DataFr
     return per_image(boxes.select(by, box_id, *BOX), by, ["y", box_id, *BOX] if plain else [box_id, *BOX], run, f"{box_id} {dict(boxes.dtypes)[box_id]}, place int")
 
 
-def covered_cells(boxes: DataFrame, by: str, cell: int, columns: int, rows: int) -> DataFrame:
-    """Grid cells that a box touches, as a bounded explode instead of a range join."""
-    span = lambda at, size, most: F.sequence(F.greatest(F.lit(0), F.floor(at / cell)).cast("int"), F.least(F.lit(most), F.ceil((at + size) / cell)).cast("int") - 1)
-    on = boxes.where((F.col("x") + F.col("width") > 0) & (F.col("y") + F.col("height") > 0) & (F.col("x") < columns * cell) & (F.col("y") < rows * cell) & (F.col("width") > 0) & (F.col("height") > 0))
-    return on.select(by, F.explode(span(F.col("y"), F.col("height"), rows)).alias("row"), "x", "width").select(by, "row", F.explode(span(F.col("x"), F.col("width"), columns)).alias("col")).distinct()
+#: Grid columns that one long holds.
+WORD = 62
+
+
+def cover_masks(boxes: DataFrame, by: str, cell: int, columns: int, rows: int) -> DataFrame:
+    """Each image's grid as ``masks``, WORD columns a long, row by row; a bit is set where a box touches the cell. One row an
+    image is shuffled, however many boxes and cells there are."""
+    words = -(-columns // WORD)
+    on = (F.col("x") + F.col("width") > 0) & (F.col("y") + F.col("height") > 0) & (F.col("x") < columns * cell) & (F.col("y") < rows * cell) & (F.col("width") > 0) & (F.col("height") > 0)
+    bound = lambda at, most: F.least(F.greatest(at, F.lit(0)), F.lit(most)).cast("int")
+    spans = boxes.withColumn("_on", F.coalesce(on, F.lit(False))).select(
+        by, *[F.when(F.col("_on"), v).otherwise(0).alias(n) for n, v in (("_r0", bound(F.floor(F.col("y") / cell), rows)), ("_r1", bound(F.ceil((F.col("y") + F.col("height")) / cell), rows)), ("_c0", bound(F.floor(F.col("x") / cell), columns)), ("_c1", bound(F.ceil((F.col("x") + F.col("width")) / cell), columns)))]
+    )
+    upto = lambda c, w: F.expr(f"shiftleft(1L, least(greatest({c} - {w * WORD}, 0), {WORD})) - 1L")
+    spans = spans.select("*", *[upto("_c1", w).bitwiseXOR(upto("_c0", w)).alias(f"_m{w}") for w in range(words)])
+    masks = [F.coalesce(F.bit_or(F.when((F.col("_r0") <= r) & (F.col("_r1") > r), F.col(f"_m{w}"))), F.lit(0).cast("long")).alias(f"_{r}_{w}") for r in range(rows) for w in range(words)]
+    return spans.groupBy(by).agg(*masks).select(by, F.array(*[f"_{r}_{w}" for r in range(rows) for w in range(words)]).alias("masks"))
 
 
 def uncovered_cells(boxes: DataFrame, by: str, cell: int, columns: int, rows: int) -> DataFrame:
     """The other cells of every image's grid."""
-    grid = boxes.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select(by, "row", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("col"))
-    return grid.exceptAll(covered_cells(boxes, by, cell, columns, rows))
+    words = -(-columns // WORD)
+    cells = cover_masks(boxes, by, cell, columns, rows).select(by, "masks", F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1))).alias("_cell"))
+    cells = cells.select(by, "masks", F.floor(F.col("_cell") / columns).cast("int").alias("row"), (F.col("_cell") % columns).alias("col"))
+    mask = F.get("masks", F.col("row") * words + F.floor(F.col("col") / WORD).cast("int"))
+    return cells.where(F.getbit(mask, F.col("col") % WORD) == 0).select(by, "row", "col")
 
 
 def rectangles(cells: set[tuple[int, int]], columns: int, rows: int) -> list[tuple[int, int, int, int]]:
@@ -219,12 +278,19 @@ def rectangles(cells: set[tuple[int, int]], columns: int, rows: int) -> list[tup
 def uncovered_areas(boxes: DataFrame, by: str, cell: int, width: int, height: int, least_share: float = 0.0) -> DataFrame:
     """Rectangles that no box touches, of at least a share of the page."""
     columns, rows = -(-width // cell), -(-height // cell)
+    words = -(-columns // WORD)
 
-    def run(own: list[tuple]) -> list[tuple]:
-        found = [(c * cell, r * cell, min(n * cell, width - c * cell), min(m * cell, height - r * cell)) for r, c, m, n in rectangles(set(own), columns, rows)]
-        return [f for f in found if f[2] * f[3] >= least_share * width * height]
-
-    return per_image(uncovered_cells(boxes, by, cell, columns, rows).select(by, "row", "col"), by, ["row", "col"], run, "x long, y long, width long, height long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, masks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                free = {(r, c) for r in range(rows) for c in range(columns) if not masks[r * words + c // WORD] >> (c % WORD) & 1}
+                found = [(c * cell, r * cell, min(n * cell, width - c * cell), min(m * cell, height - r * cell)) for r, c, m, n in rectangles(free, columns, rows)]
+                out += [(key, *f) for f in found if f[2] * f[3] >= least_share * width * height]
+            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4]
+            yield pa.record_batch([pa.array([x[k] for x in out], type=t) for k, t in enumerate(kinds)], names=[by, "x", "y", "width", "height"])
+
+    return cover_masks(boxes, by, cell, columns, rows).mapInArrow(run, f"{by} {dict(boxes.dtypes)[by]}, x long, y long, width long, height long")
 
 
 def contains_most(a: str, b: str, share: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.maths import clamp
+from ..functions.maths import clamp, least
 
 # Weights, bounds and limits of the robust score.
 CER_WEIGHT, WER_WEIGHT, CAP = 0.6, 0.4, 2.5
@@ -26,7 +26,8 @@ def scored_pairs(pairs: DataFrame, guess: str, truth: str) -> DataFrame:
     """``pairs`` with cer, wer and the length diagnostics. Rows whose truth is null or empty go."""
     g, t = T.normalise(F.coalesce(F.col(guess), F.lit(""))), T.normalise(F.col(truth))
     rows = pairs.where(F.col(truth).isNotNull() & (F.col(truth) != "")).withColumns({"_g": g, "_t": t})
-    rows = rows.withColumns({"_gw": T.tokens(F.col("_g")), "_tw": T.tokens(F.col("_t")), "guess_length": F.length("_g"), "truth_length": F.length("_t")})
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    rows = rows.withColumns({"_gw": words("_g"), "_tw": words("_t"), "guess_length": F.length("_g"), "truth_length": F.length("_t")})
     gl, tl = F.col("guess_length"), F.col("truth_length")
     return rows.withColumns({
         "cer": T.error_rate(F.levenshtein("_g", "_t"), tl, gl),
@@ -38,10 +39,10 @@ def scored_pairs(pairs: DataFrame, guess: str, truth: str) -> DataFrame:
 
 def robust_score(rows: DataFrame, by: list[str]) -> DataFrame:
     """One aggregate per group over cer, wer, length_ratio, underproduction, is_empty and is_very_short.
-    Without ``by`` an empty input scores NO_ROWS and is infeasible."""
+    Without ``by`` an empty input scores NO_ROWS and is infeasible. Rows with a null rate are left out of that rate's mean."""
     share = lambda c: F.avg(F.col(c).cast("double"))
     out = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(CER_WEIGHT * F.least("cer", F.lit(CAP)) + WER_WEIGHT * F.least("wer", F.lit(CAP))).alias("base"),
+        F.count("*").alias("n"), F.avg(CER_WEIGHT * least(F.col("cer"), F.lit(CAP)) + WER_WEIGHT * least(F.col("wer"), F.lit(CAP))).alias("base"),
         F.avg("underproduction").alias("under"), F.avg(clamp(F.col("length_ratio") - 1, 0.0, 2.0)).alias("over"),
         F.median("length_ratio").alias("median_ratio"), share("is_empty").alias("empty_rate"), share("is_very_short").alias("short_rate"),
     )
@@ -71,12 +72,12 @@ def drop_worst(rows: DataFrame, by: list[str], position: list[str]) -> DataFrame
     return agg.select(*by, "n", rest(F.col("_w"), F.col("_mw")).alias("wer_drop_max"), rest(F.col("_w"), F.col("_a.wer")).alias("wer_drop1"), rest(F.col("_c"), F.col("_a.cer")).alias("cer_drop1"), rest(F.col("_m"), F.col("_mm")).alias("mixed_drop"))
 
 
-def split_metrics(scores: DataFrame, name: str = "filename", position: str = "pos") -> DataFrame:
-    """Per split the count, means, drop-one means and the document dropped."""
+def split_metrics(scores: DataFrame, name: str = "filename", position: str = "pos", by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Per split (of each of ``by``) the count, means, drop-one means and the document dropped."""
     worst = F.max(F.struct(F.col("wer"), (-F.col(position)).alias("p"), F.col("cer"), F.col(name).alias("name")))
-    agg = scores.groupBy("split").agg(F.count("*").alias("n"), F.sum("wer").alias("_w"), F.sum("cer").alias("_c"), worst.alias("_x"))
+    agg = scores.groupBy(*by, "split").agg(F.count("*").alias("n"), F.sum("wer").alias("_w"), F.sum("cer").alias("_c"), worst.alias("_x"))
     rest = lambda total, x: F.when(F.col("n") > 1, (total - x) / (F.col("n") - 1)).otherwise(total)
-    return agg.select("split", "n", (F.col("_w") / F.col("n")).alias("wer_mean"), (F.col("_c") / F.col("n")).alias("cer_mean"), rest(F.col("_w"), F.col("_x.wer")).alias("wer_drop1"), rest(F.col("_c"), F.col("_x.cer")).alias("cer_drop1"), F.col("_x.name").alias("dropped"), F.col("_x.wer").alias("dropped_wer"))
+    return agg.select(*by, "split", "n", (F.col("_w") / F.col("n")).alias("wer_mean"), (F.col("_c") / F.col("n")).alias("cer_mean"), rest(F.col("_w"), F.col("_x.wer")).alias("wer_drop1"), rest(F.col("_c"), F.col("_x.cer")).alias("cer_drop1"), F.col("_x.name").alias("dropped"), F.col("_x.wer").alias("dropped_wer"))
 
 
 def weighted_rates(rows: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:

@@ -11,11 +11,59 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column | str], name: str
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+#: Groups whose first rows are broadcast, at most; above that the join shuffles.
+MOST_GROUPS = 10_000
+PLACE, RANGE = "_range_place", "_range"
+
+
+def in_ranges(rows: DataFrame, by: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with a number RANGE that never falls as ``by`` grows (nulls come first, as in a sort), cut at quantiles, so that a sort of
+    few large groups is many sorts of ranges. Equal values share a range."""
+    parts = parts or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    value = (F.unix_micros(F.col(by).cast("timestamp")) if dict(rows.dtypes)[by].startswith("timestamp") else F.col(by)).cast("double")
+    cuts = rows.select(value.alias("v")).where("v is not null").approxQuantile("v", [i / parts for i in range(1, parts)], 0.01)
+    cuts = sorted(set(cuts))
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    return rows.withColumn(RANGE, F.when(F.col(by).isNull(), -1).otherwise(above))
+
+
+def ranked_in_ranges(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """W1 for few or huge groups: as ``ranked``, with rows sorted in ranges of the first of ``order`` (a rising numeric column) and each
+    range's place in its group from the counts of those before it."""
+    placed = rows if RANGE in rows.columns else in_ranges(rows, order[0], parts)
+    before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*by, RANGE).agg(F.count("*").alias("n")).select(*by, RANGE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(PLACE))
+    joined = matched(placed, offsets, [*by, RANGE])
+    inside = F.row_number().over(Window.partitionBy(*by, RANGE).orderBy(*order))
+    return joined.withColumn(name, (inside + F.col(PLACE)).cast("int")).drop(PLACE, RANGE)
+
+
+def matched(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``groups`` (one row for each of the keys), null keys too. Broadcast below a checked count."""
+    other = groups.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    few = other.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = F.col(k).eqNullSafe(F.col(f"_key_{i}")) if not i else on & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(F.broadcast(other) if few else other, on).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def with_previous(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """The value of the row before, null on a group's first row."""
     return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def with_previous_in_ranges(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """As ``with_previous`` for few or huge groups: rows are sorted in ranges of the first of ``order``, and a range's first row takes the
+    last value of the range before it, one row a group and range."""
+    placed = in_ranges(rows, order[0], parts)
+    ends = placed.groupBy(*by, RANGE).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("end"))
+    ends = ends.select(*by, RANGE, F.lag("end").over(Window.partitionBy(*by).orderBy(RANGE)).alias(PLACE))
+    joined = matched(placed, ends, [*by, RANGE])
+    w = Window.partitionBy(*by, RANGE).orderBy(*order)
+    return joined.withColumn(name, F.when(F.row_number().over(w) == 1, F.col(f"{PLACE}.v")).otherwise(F.lag(value).over(w))).drop(PLACE, RANGE)
+
+
 def running_best(rows: DataFrame, by: list[str], order: list[str], value: str, name: str = "best") -> DataFrame:
     """The smallest value so far, and whether this row sets it."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -42,9 +90,11 @@ def progress(rows: DataFrame, by: list[str], order: str, total: int) -> DataFram
 
 
 def deltas(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Difference to the first row and to the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumns({"vs_first": F.col(value) - F.first(value).over(w), "vs_previous": F.col(value) - F.lag(value).over(w)})
+    """Difference to the first row and to the row before; groups may be few and huge."""
+    firsts = rows.groupBy(*by).agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
+    seen = with_previous_in_ranges(rows, by, order, value, "_previous")
+    both = matched(seen, firsts, by)
+    return both.withColumns({"vs_first": F.col(value) - F.col("_first.v"), "vs_previous": F.col(value) - F.col("_previous")}).drop("_first", "_previous")
 
 
 def stability(rows: DataFrame, by: list[str], value: str) -> DataFrame:

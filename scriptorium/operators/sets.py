@@ -1,4 +1,4 @@
-"""Set operations, limits and small predicates."""
+"""Set operations, limits and small predicates."""
 
 from __future__ import annotations
 

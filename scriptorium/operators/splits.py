@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import RANGE, matched, ranked_in_ranges
+
 SPLITS = ("train", "val", "test")
 # Name and text patterns of the classes, the first match wins.
 SOURCES = ((r"^signal-", "signal_mobile"), (r"^img_", "phone_camera"), (r"^\d{6}\.", "batch_capture"), (r"screenshot|^chunk", "digital_capture"), (r"got-a-letter", "web_photo"), (r"rechnung-schreiben", "template_sample"))
@@ -16,6 +18,8 @@ DOCUMENT_TYPES = (
     (r"lieferschein|packliste|bestell", None, "shipping_document"),
 )
 DENSE, SMALL, LOW = 8000, 900, 850
+# What a name holds, ends with or begins with, by condition.
+DIGITAL_HOLDS, DIGITAL_ENDS, DIGITAL_BEGINS, VARIANTS = "screenshot", ".png", "chunk", ("_002", "_003")
 
 
 def source_class(name: Column) -> Column:
@@ -26,18 +30,19 @@ def source_class(name: Column) -> Column:
 
 
 def document_class(name: Column, text: Column) -> Column:
-    f, t = F.lower(name), F.lower(F.coalesce(text, F.lit("")))
+    """One case-insensitive search a class, over the text as it is."""
+    f, t = F.lower(name), F.coalesce(text, F.lit(""))
     out = F.when(F.length(t) > DENSE, "dense_page").when((F.length(t) < SMALL) | f.rlike("chunk|bill_screenshot"), "small_text").otherwise("general_letter")
     for pattern, in_name, kind in reversed(DOCUMENT_TYPES):
-        out = F.when(t.rlike(pattern) | (f.contains(in_name) if in_name else F.lit(False)), kind).otherwise(out)
+        out = F.when(t.rlike(f"(?iu){pattern}") | (f.contains(in_name) if in_name else F.lit(False)), kind).otherwise(out)
     return out
 
 
 def condition_class(name: Column, rotation: Column, width: Column, height: Column, text: Column) -> Column:
     f, least = F.lower(name), F.least(F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0)))
     return (
-        F.when(rotation.isin(90, 270), "rotated").when(rotation == 180, "upside_down").when(f.contains("screenshot") | f.endswith(".png") | f.startswith("chunk"), "digital_clean")
-        .when(f.contains("_002") | f.contains("_003"), "mobile_variant").when((least > 0) & (least < LOW), "low_resolution").when(F.length(F.coalesce(text, F.lit(""))) > DENSE, "dense_text").otherwise("standard")
+        F.when(rotation.isin(90, 270), "rotated").when(rotation == 180, "upside_down").when(f.contains(DIGITAL_HOLDS) | f.endswith(DIGITAL_ENDS) | f.startswith(DIGITAL_BEGINS), "digital_clean")
+        .when(f.contains(VARIANTS[0]) | f.contains(VARIANTS[1]), "mobile_variant").when((least > 0) & (least < LOW), "low_resolution").when(F.length(F.coalesce(text, F.lit(""))) > DENSE, "dense_text").otherwise("standard")
     )
 
 
@@ -57,13 +62,14 @@ def quotas(counts: DataFrame, key: list[str], ratios: tuple[float, float, float]
 
 
 def stratified(rows: DataFrame, strata: list[str], name: str, ratios: tuple[float, float, float] = (0.6, 0.2, 0.2), seed: int = 42) -> DataFrame:
-    """A seeded split in proportion within each stratum, whatever the partitioning: rows are placed by a digest of seed and name."""
+    """A seeded split in proportion within each stratum, whatever the partitioning: rows are placed by a digest of seed and name.
+    A stratum is sorted in 256 ranges of the digest's first byte, so that one may hold any share of the rows."""
     n = rows.groupBy(*strata).agg(F.count("*").alias("n"))
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(name).cast("string")).cast("binary"))
-    placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(*strata).orderBy(digest, name)))
-    joined = placed.join(quotas(n, strata, ratios), strata)
+    ranged = rows.withColumn("_d", digest).withColumn(RANGE, F.conv(F.substring("_d", 1, 2), 16, 10).cast("int"))
+    joined = matched(ranked_in_ranges(ranged, strata, ["_d", name], "_p"), quotas(n, strata, ratios), strata)
     split = F.when(F.col("_p") <= F.col("train"), "train").when(F.col("_p") <= F.col("train") + F.col("val"), "val").otherwise("test")
-    return joined.withColumn("split", split).drop("_p", "n", *SPLITS)
+    return joined.withColumn("split", split).drop("_p", "_d", "n", *SPLITS)
 
 
 def fnv(text: str) -> int:

@@ -1,11 +1,11 @@
-"""Parameter spaces as DataFrames."""
+"""Parameter spaces as DataFrames."""
 
 from __future__ import annotations
 
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY = "path string, kind string, group string, engine string, low double, high double, step double, options array<string>"
@@ -50,20 +50,37 @@ def dimensions(configs: dict[str, dict]) -> list[tuple[str, list[str]]]:
     return [(path, values) for path, config in configs.items() if (values := values_of(config))]
 
 
+def enabled_paths(configs: dict[str, dict]) -> list[str]:
+    """P3."""
+    return [path for path, config in configs.items() if config.get("enabled")]
+
+
+def space_text(configs: dict[str, dict]) -> str:
+    """the size of a space and what it is made of."""
+    if not enabled_paths(configs):
+        return "1 Iteration (Standard-Konfiguration)"
+    dims = dimensions(configs)
+    return f"{space_size(dims)} Iterationen ({' × '.join(f'{len(values)} {path.rsplit(chr(46), 1)[-1]}' for path, values in dims)})"
+
+
 def space_size(dims: list[tuple[str, list[str]]]) -> int:
     """1 for an empty space."""
     return math.prod(len(v) for _, v in dims)
 
 
-def grid(spark: SparkSession, dims: list[tuple[str, list[str]]]) -> DataFrame:
-    """Every combination, decoded from its number, so that nothing is crossed or kept; the last varies fastest."""
-    out, below = spark.range(space_size(dims)).withColumnRenamed("id", "permutation"), space_size(dims)
-    entries = []
+def decoded(dims: list[tuple[str, list[str]]], number: Column) -> Column:
+    """The combination of a number, as a map; the last dimension varies fastest."""
+    below, entries = space_size(dims), []
     for path, values in dims:
         below //= len(values)
-        at = F.pmod(F.floor(F.col("permutation") / below), F.lit(len(values))).cast("int") + 1
+        at = F.pmod(F.floor(number / below), F.lit(len(values))).cast("int") + 1
         entries.append(F.struct(F.lit(path).alias("key"), F.element_at(F.array(*map(F.lit, values)), at).alias("value")))
-    return out.withColumn("parameters", F.map_from_entries(F.array(*entries)) if entries else F.create_map().cast("map<string,string>"))
+    return F.map_from_entries(F.array(*entries)) if entries else F.create_map().cast("map<string,string>")
+
+
+def grid(spark: SparkSession, dims: list[tuple[str, list[str]]]) -> DataFrame:
+    """Every combination, decoded from its number, so that nothing is crossed or kept."""
+    return spark.range(space_size(dims)).withColumnRenamed("id", "permutation").withColumn("parameters", decoded(dims, F.col("permutation")))
 
 
 def sample(spark: SparkSession, dims: list[tuple[str, list[str]]], n: int, seed: int) -> DataFrame:
@@ -83,6 +100,11 @@ def for_engine(registry: DataFrame, engine: str) -> DataFrame:
     return registry.where(F.col("engine").isNull() | (F.col("engine") == engine))
 
 
+def parameter(registry: DataFrame, path: str) -> DataFrame:
+    """The parameter with a path, none if there is no such."""
+    return registry.where(F.col("path") == path)
+
+
 def in_group(registry: DataFrame, group: str, engine: str) -> DataFrame:
     """A group's parameters that the engine has."""
     return registry.where(F.col("group") == group).join(for_engine(registry, engine).select("path"), "path", "left_semi")
@@ -125,8 +147,15 @@ def merged_maps(base: str, over: str):  # noqa: ANN201
     return F.map_concat(kept, F.col(over))
 
 
+def export(config: dict, images: list[str], cer: float, wer: float, date: str, scores: list[tuple[str, float, float]] = (), name: str = "TUNED_CONFIG") -> str:
+    """K6: a tuned config as a TypeScript file, with what it was tuned on and each image's rates as comments."""
+    rate = lambda x: f"{x * 100:.2f}%"
+    head = [f"Images: {', '.join(images)}", f"CER: {rate(cer)}, WER: {rate(wer)}", f"Date: {date}", *[f"{n}: CER {rate(c)}, WER {rate(w)}" for n, c, w in scores]]
+    return "".join(f"// {line}\n" for line in head) + "\n" + as_source(config, name)
+
+
 def as_source(config: dict, name: str = "config") -> str:
-    """K6: a config as a TypeScript constant."""
+    """A config as a TypeScript constant."""
 
     def text(v: object, indent: int) -> str:
         pad = "    " * (indent + 1)
@@ -155,3 +184,58 @@ def clamped_settings(iterations: int, initial: int, candidates: int) -> dict[str
     """P27."""
     iterations = min(max(iterations, 1), 10_000)
     return {"iterations": iterations, "initialSamples": min(max(initial, 1), iterations), "candidateSamples": max(candidates, 50)}
+
+
+# The three presets, each with its engine, its search settings and the parameters it varies.
+PRESETS = {
+    "tesseract-balanced": ("tesseract", {"iterations": 80, "initialSamples": 20, "candidateSamples": 400}, {
+        "preprocessing.contrastBoost": {"enabled": True, "min": 1.5, "max": 2.5, "steps": 3},
+        "preprocessing.dpiScaling.minCapitalHeightPx": {"enabled": True, "min": 18, "max": 30, "steps": 4},
+        "preprocessing.dpiScaling.maxScale": {"enabled": True, "min": 3, "max": 5, "steps": 3},
+        "preprocessing.clahe.enabled": {"enabled": True},
+        "preprocessing.threshold.enabled": {"enabled": True},
+        "output.minTextLength": {"enabled": True, "min": 1, "max": 2, "steps": 2},
+        "output.minLineConfidence": {"enabled": True, "min": 0.2, "max": 0.45, "steps": 4},
+    }),
+    "paddle-focus": ("paddleocr", {"iterations": 120, "initialSamples": 30, "candidateSamples": 600}, {
+        "paddleocr.language": {"enabled": True, "selectedValues": ["german", "latin"]},
+        "paddleocr.detThreshold": {"enabled": True, "min": 0.2, "max": 0.45, "steps": 4},
+        "paddleocr.boxThreshold": {"enabled": True, "min": 0.45, "max": 0.7, "steps": 4},
+        "paddleocr.detInputSize": {"enabled": True, "min": 960, "max": 1600, "steps": 3},
+        "paddleocr.unclipRatio": {"enabled": True, "min": 1.6, "max": 2.1, "steps": 3},
+        "preprocessing.clahe.enabled": {"enabled": True},
+    }),
+    "recall-rescue": ("tesseract", {"iterations": 120, "initialSamples": 30, "candidateSamples": 600}, {
+        "layout.enabled": {"enabled": True},
+        "fallback.enabled": {"enabled": True},
+        "rotation.enabled": {"enabled": True},
+        "preprocessing.threshold.enabled": {"enabled": True},
+        "preprocessing.threshold.type": {"enabled": True, "selectedValues": ["otsu", "adaptive"]},
+        "preprocessing.contrastBoost": {"enabled": True, "min": 1.25, "max": 2.25, "steps": 5},
+        "output.minTextLength": {"enabled": True, "min": 1, "max": 2, "steps": 2},
+        "output.minLineConfidence": {"enabled": True, "min": 0.15, "max": 0.35, "steps": 3},
+    }),
+}
+#: Steps of a number that is switched on, and the most it may have.
+FIRST_STEPS, MOST_STEPS = 3, 20
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """A row for each preset's parameter with its values, and the size of the preset's space."""
+    rows = [(name, engine, settings["iterations"], path, values, space_size(dims)) for name, (engine, settings, configs) in PRESETS.items() for dims in [dimensions(configs)] for path, values in dims]
+    return spark.createDataFrame(rows, "preset string, engine string, iterations int, path string, values array<string>, space long")
+
+
+def switched_on(registry: DataFrame) -> DataFrame:
+    """The config that each parameter of a registry gets when it is switched on: a number its bounds (0 and 1 where it has none) and
+    FIRST_STEPS steps, a choice all its options."""
+    number, choice = F.col("kind") == "number", F.col("kind") == "enum"
+    return registry.select(
+        "path", "kind", F.when(number, F.coalesce("low", F.lit(0.0))).alias("min"), F.when(number, F.coalesce("high", F.lit(1.0))).alias("max"), F.when(number, FIRST_STEPS).alias("steps"),
+        F.when(choice, F.coalesce("options", F.array().cast("array<string>"))).alias("selected"),
+    )
+
+
+def bounded_steps(steps: Column) -> Column:
+    """The steps a number may have."""
+    return F.when(steps.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), steps)))

@@ -1,11 +1,15 @@
-"""Sources (survey ids S1-S14, J1, J2, J19): images, ground truth, datasets, manifests and runs as DataFrames."""
+"""Sources (survey ids S1-S11, O13, J1, J2, J19, P1, P9): images, ground truth, datasets, manifests and runs as DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_space_split, stem, trimmed
+from ..operators.sequences import ranked_in_ranges
 
 IMAGE_NAMES = r"(?i)\.(jpe?g|png|gif|bmp|webp|tiff?)$"
 BOX = "struct<x:double,y:double,width:double,height:double>"
@@ -91,13 +95,60 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results of an earlier run in the order of their ids."""
+    """Results of an earlier run in the order of their ids."""
     shape = "id long, parameters array<struct<path:string,value:string>>, combinedScore double, averageCER double, averageWER double"
     raw = spark.read.option("wholetext", True).text(path)
     listed = F.coalesce(F.from_json(F.get_json_object("value", "$.results"), f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ('id long', 'parameters array<struct<path:string,value:string>>', 'combinedScore double', 'averageCER double', 'averageWER double'))}>>"), F.from_json("value", f"array<struct<{shape.replace('id long', 'id:long').replace('parameters array', 'parameters:array').replace('combinedScore double', 'combinedScore:double').replace('averageCER double', 'averageCER:double').replace('averageWER double', 'averageWER:double')}>>"))
     return raw.select(F.inline(listed)).orderBy("id")
 
 
+# Engines, scoring modes and what a run folder's settings are where they don't say.
+ENGINES, MODES = ("tesseract", "paddleocr"), ("regions", "customWER")
+FIRST_SAMPLES, CANDIDATES, LEAST_CANDIDATES = 1, 600, 50
+
+
+def _json_file(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """One file's object; None where there is no such file."""
+    found = spark.read.option("wholetext", True).option("pathGlobFilter", name).text(folder).first()
+    return None if found is None else json.loads(found.value)
+
+
+def resumed(spark: SparkSession, folder: str) -> dict:
+    """What an earlier run's folder says for going on with it; ValueError where it isn't usable. The number of iterations is the
+    saved results', else the settings'. ``images`` are the names the run needs, from its settings or, else, its results."""
+    meta, saved = _json_file(spark, folder, "run_meta.json"), _json_file(spark, folder, "all_results.json")
+    if meta is None or saved is None:
+        raise ValueError("the folder has no run_meta.json and all_results.json")
+    name = meta["runDirectory"] if isinstance(meta.get("runDirectory"), str) else folder.rstrip("/").rsplit("/", 1)[-1]
+    if not name or "/" in name or "\\" in name or ".." in name:
+        raise ValueError("not a run folder's name")
+    if meta.get("selectedEngine") not in ENGINES:
+        raise ValueError("not a known engine")
+    if not isinstance(meta.get("parameterConfigs"), dict):
+        raise ValueError("no parameter configs")
+    settings = meta.get("optimizerSettings") or {}
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    totals = [v for v in (saved.get("totalIterations"), settings.get("totalIterations"), settings.get("iterations")) if number(v)]
+    total = math.floor(totals[0]) if totals else 0
+    if total <= 0:
+        raise ValueError("no number of iterations")
+    results = sorted(saved["results"] if isinstance(saved.get("results"), list) else [], key=lambda r: r["id"])
+    first, most = (v if number(v) else d for v, d in ((settings.get("initialSamples"), FIRST_SAMPLES), (settings.get("candidateSamples"), CANDIDATES)))
+    images = [i["filename"] for i in meta.get("images") or [] if isinstance(i.get("filename"), str) and i["filename"]]
+    images = images or list(dict.fromkeys(s["filename"] for r in results for s in r.get("imageScores") or []))
+    inputs = (_json_file(spark, folder, "run_inputs.json") or {}).get("images")
+    usable = [i for i in inputs if isinstance(i, dict) and all(isinstance(i.get(k), str) for k in ("filename", "mimeType", "dataUrl"))] if isinstance(inputs, list) else []
+    return {
+        "run": name, "engine": meta["selectedEngine"], "scoringMode": meta["scoringMode"] if meta.get("scoringMode") in MODES else "fulltext", "parameterConfigs": meta["parameterConfigs"],
+        "iterations": total, "initialSamples": min(max(1, math.floor(first)), total), "candidateSamples": max(LEAST_CANDIDATES, math.floor(most)), "results": results, "images": images, "inputs": usable,
+    }
+
+
+def replayed(run: dict) -> list[dict]:
+    """A resumed run's results as a search's history."""
+    return [{"id": r["id"], "parameters": {p["path"]: str(p["value"]) if not isinstance(p["value"], bool) else str(p["value"]).lower() for p in r.get("parameters") or []}, "score": r["combinedScore"]} for r in run["results"]]
+
+
 def missing(required: DataFrame, available: DataFrame, key: str = "filename") -> DataFrame:
     """Required names that aren't there."""
     return required.select(key).join(available.select(key), key, "left_anti")
@@ -105,7 +156,7 @@ def missing(required: DataFrame, available: DataFrame, key: str = "filename") ->
 
 def in_required_order(rows: DataFrame, required: DataFrame, key: str = "filename") -> DataFrame:
     """Rows by the place of their name in ``required`` (key, pos)."""
-    return rows.join(required.select(key, "pos"), key).withColumn("pos", F.row_number().over(Window.orderBy("pos"))).orderBy("pos")
+    return ranked_in_ranges(rows.join(required.select(key, F.col("pos").alias("_pos")), key), [], ["_pos", key], "pos").drop("_pos").orderBy("pos")
 
 
 def line_words(result: Column, least_word: float, least_line: float, least_length: int) -> Column:

@@ -1,4 +1,4 @@
-"""Sinks (survey ids K1-K14): reports, snapshots and ground truth as JSON, text and Parquet."""
+"""Sinks (survey ids K1, K2, K4, K5, K7, K11-K14): reports, snapshots and ground truth as JSON, text and Parquet."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def checked_path(folder: str, name: str) -> str:
 
 
 def json_rows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object a line; null fields are left out."""
+    """One JSON object a line; null fields are left out."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode(mode).text(path)
 
 
@@ -47,6 +47,13 @@ def ground_truth_files(rows: DataFrame, path: str) -> None:
     json_rows(rows.select("filename", "fullText", "regions"), path)
 
 
+def dry_run(df: DataFrame, path: str, dry: bool = False) -> DataFrame:
+    """Write a manifest as JSON, or with ``dry`` only give what would be written."""
+    if not dry:
+        json_rows(df, path, "overwrite")
+    return df
+
+
 def concatenated(rows: DataFrame, order: str, text: str) -> DataFrame:
     """K7: all texts of a report in order. A report's rows are few; larger tables keep their rows."""
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n\n").alias("value"))

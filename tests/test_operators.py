@@ -61,7 +61,7 @@ def test_unfolded_char_error_rates_tell_accented_letters_apart(spark, tmp_path):
     texts = [["été", "ètè"], ["日", "本"]] + [[" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(6)] for _ in range(20)]
     rows = [(i, j, "user", t) for i, own in enumerate(texts) for j, t in enumerate(own)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn): (r.cer, r.guess_length, r.truth_length) for r in QUERIES["char_error_rates_unfolded"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): (r.cer, r.guess_length, r.truth_length) for r in QUERIES["char_error_rates"](spark, str(tmp_path)).collect()}
     assert len(got) == sum(len(own) - 1 for own in texts) and got[0, 1][0] == pytest.approx(2 / 3, abs=1e-6) and got[1, 1][0] == 1
     for (i, j), found in got.items():
         g, t = (" ".join(x.lower().split()) for x in texts[i][j - 1 : j + 1])
