@@ -385,9 +385,11 @@ def _exact_links(left: DataFrame) -> DataFrame:
     sets = left.withColumn("open", F.array_sort("open")).withColumn("prefix", F.slice("open", 1, F.size("open") - need + 1)).withColumn("key", F.array_min("open.t"))
     sizes = sets.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("subs"))
     sets = written(sets.join(sizes, "key").withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("subs")).cast("int")).drop("subs"), "left")
-    column = sets.select("key", "sub", F.explode("open.t").alias("t")).distinct()
+    # Groups of one key have much the same column, so a set asks for keys, and then for each of the key's groups.
+    column = sets.select("key", F.explode("open.t").alias("t")).distinct()
     asked = sets.select("sig", F.explode("prefix.t").alias("t"))
-    near = written(asked.join(column, "t").select("sig", "key", "sub").distinct(), "near")
+    keys = written(asked.join(column, "t").select("sig", "key").distinct(), "near-keys")
+    near = written(keys.join(sizes, "key").select("sig", "key", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")), "near")
     # A group that many sets ask for is opened once for each part of them, so that a call is bounded.
     parts = near.groupBy("key", "sub").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
     dealt = near.join(parts, ["key", "sub"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
