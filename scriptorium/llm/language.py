@@ -20,10 +20,11 @@ rows; further columns stay as they are, and where one begins with ``out``, the n
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bound_batches, bounded_texts, by_texts, free_prefix, held, let, slices, softmax, written
@@ -171,9 +172,8 @@ def fit(texts: list[str | None], langs: list[str], among: tuple[str, ...] = LANG
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, among: tuple[str, ...] = LANGS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
     """At most ``rows`` documents a language, by hashed id, and of them as many as hold ``most`` bytes of text a language."""
-    usable = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where(F.col("lang").isin(*among) & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).orderBy("lang", "k").collect()
+    usable = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where("doc_id is not null")
+    picked = reduce(DataFrame.unionAll, [usable.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for x in among]).collect()
     found = bounded_texts(docs, list(dict.fromkeys((r.doc_id, r.lang) for r in picked)), most, F.col("lang"))
     return [t for t, _ in found], [lang for _, lang in found]
 
