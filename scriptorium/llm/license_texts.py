@@ -155,5 +155,8 @@ PROSE = [
     "The same conditions apply to all members of the club.", "Without doubt this was the best part of the trip.", "Some words of the text are hard to read.", "The public was not allowed to see the form of the statue.",
     "More than half of the files were lost in the fire.", "The following day we had to use another road.", "He made a list of the names of his friends.", "For this purpose a special room was built.",
     "The general use of such tools is limited by their price.", "In case of rain the party will be held in the house.", "At the end of the year the final version was ready.", "As far as possible, keep the food in a cool place.",
+    "He went with his friends from the station to the park or the lake.", "What do you want to do with the rest of the day?", "She looked under the bed and behind each door before leaving.", "Either they have lost its key, or the last person kept it.",
+    "Even so, we agreed to come back and deal with it later.", "They have not called since, nor did they say anything.", "The kind of data that each computer holds is not the same.", "Do not be late, and come with all your things from home.",
+    "Er kam mit dem Zug und ging mit seiner Mutter nach Hause.", "Wir sprechen mit dem Lehrer über die Schule.", "Ella salió con su hermano de la casa.", "Il est parti avec sa sœur sans dire un mot.",
     "Der Zug kam spät an, und wir mussten lange warten.", "Die Kinder spielen im Garten, weil die Sonne scheint.", "Elle a trouvé la maison de son grand-père dans le village.", "Le soir, nous avons mangé du pain et du fromage.", "El perro corre por la calle y los niños ríen.", "La casa de mi abuela está cerca del mar.",
 ]

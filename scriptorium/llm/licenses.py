@@ -84,9 +84,9 @@ class Model:
 
 
 #: Copies of each sentence with words lost and others around it, steps of the regression, its penalty, and the parts in which sentences are held out.
-COPIES, STEPS, PENALTY, FOLDS = 2, 150, 5e-4, 2
+COPIES, STEPS, PENALTY, FOLDS = 2, 150, 3e-4, 2
 #: How much a sentence of a licence text weighs against a notice that only names a family.
-TEXT_WEIGHT = 3.0
+TEXT_WEIGHT = 5.0
 #: Different words of a training sentence that a prediction is compared with, at least.
 LEAST_TEMPLATE = 12
 
