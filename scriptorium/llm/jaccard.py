@@ -12,9 +12,9 @@ Links only matter up to connectivity, so groups that are connected already are n
    groups dealt out at random), members are joined where they link, and joined groups are contracted. The union
    of a group's shingles is its column of the matrix; a set goes on only if three quarters
    of its shingles lie in columns of other components.
-4. What is left is compared exactly: a set's rarest shingles (so many that one of them must be shared) find
-   the groups it may link with, the overlap with the group's column bounds the overlap with any member, and only
-   qualifying groups are opened.
+4. What is left is compared exactly: the rarest shingles of a key's sets (so many of each that one of them must be
+   shared) find the keys whose groups its sets may link with, the overlap with a group's column bounds the overlap with any
+   member, and only qualifying groups are opened.
 
 Cases: null and empty texts have no shingles and link with nothing; with fewer than five words the whole
 sequence is the one shingle; equal sets are one set, joined without comparison; rows with a null id keep
@@ -377,23 +377,33 @@ def _with_components(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return sets.join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
 
 
+def _key_pairs(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key, asked: keys whose sets (key, prefix) may link, each pair once, the key of fewer sets (``sizes``: key, k) first, and each key with itself.
+
+    The rarest shingle that two linked sets share lies in the prefixes of both, so their keys have it in common; a key has a shingle
+    once, however many of its sets do."""
+    heads = written(sets.select("key", F.explode("prefix.t").alias("t")).distinct().join(sizes.select("key", "k"), "key"), "heads")
+    asked = heads.select("t", F.col("key").alias("asked"), F.col("k").alias("of"))
+    return heads.join(asked, "t").where("k < of or k = of and key <= asked").select("key", "asked").distinct()
+
+
 def _exact_links(left: DataFrame) -> DataFrame:
     """Links between different components among the sets of ``left`` (see _open_shingles), as many as join what is linked.
 
     Groups are of similar sets, whatever their components, so that they are few for many sets alike."""
     need = F.ceil(3 * F.col("n") / 4).cast("int")
     sets = left.withColumn("open", F.array_sort("open")).withColumn("prefix", F.slice("open", 1, F.size("open") - need + 1)).withColumn("key", F.array_min("open.t"))
-    sizes = sets.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("subs"))
-    sets = written(sets.join(sizes, "key").withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("subs")).cast("int")).drop("subs"), "left")
-    # Groups of one key have much the same column, so a set asks for keys, and then for each of the key's groups.
-    column = sets.select("key", F.explode("open.t").alias("t")).distinct()
-    asked = sets.select("sig", F.explode("prefix.t").alias("t"))
-    keys = written(asked.join(column, "t").select("sig", "key").distinct(), "near-keys")
-    near = written(keys.join(sizes, "key").select("sig", "key", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")), "near")
-    # A group that many sets ask for is opened once for each part of them, so that a call is bounded.
-    parts = near.groupBy("key", "sub").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
-    dealt = near.join(parts, ["key", "sub"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
-    queries = written(dealt.join(sets.select("sig", "n", "comp", "open.t"), "sig").select("key", "sub", "part", "sig", "n", "comp", "t"), "queries")
+    sizes = written(sets.groupBy("key").agg(F.count("*").alias("k")), "key-sizes").withColumn("subs", F.ceil(F.col("k") / GROUP).cast("int"))
+    sets = written(sets.join(sizes.drop("k"), "key").withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("subs")).cast("int")).drop("subs"), "left")
+    pairs = written(_key_pairs(sets, sizes), "key-pairs")
+    # Every set of the asking key asks each of the asked key's groups; a group that many sets ask for is opened once for each part
+    # of them, so that a call is bounded.
+    asking = pairs.join(sizes.drop("subs"), "key").groupBy("asked").agg(F.ceil(F.sum("k") / ASKING).cast("int").alias("parts"))
+    parts = asking.join(sizes.select(F.col("key").alias("asked"), "subs"), "asked").select("asked", "parts", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    asked = pairs.join(parts, "asked").groupBy("key").agg(F.collect_list(F.struct("asked", "sub", "parts")).alias("groups"))
+    of = asked.join(sizes.drop("subs"), "key")
+    dealt = joined_by_group(sets.select("sig", "n", "comp", "open.t", "key"), of, "key", "k", sets.count()).select("sig", "n", "comp", "t", F.explode("groups").alias("g"))
+    queries = written(dealt.select(F.col("g.asked").alias("key"), "g.sub", F.pmod(F.xxhash64("sig"), F.col("g.parts")).cast("int").alias("part"), "sig", "n", "comp", "t"), "queries")
 
     def opened(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         held(None)
@@ -415,7 +425,7 @@ def _exact_links(left: DataFrame) -> DataFrame:
                         edges.append((q, int(sig[j])))
         return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    members = sets.join(parts, ["key", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "sub", "part", "sig", "n", "comp", "open.t")
+    members = sets.join(parts.withColumnRenamed("asked", "key"), ["key", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "sub", "part", "sig", "n", "comp", "open.t")
     return queries.groupBy("key", "sub", "part").cogroup(members.groupBy("key", "sub", "part")).applyInPandas(opened, "a long, b long")
 
 

@@ -1,6 +1,7 @@
 """Joins by group, components and the multi-index on hot keys, and the registered queries against their SQL."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -115,3 +116,38 @@ def test_buckets_in_parts_count_the_same(spark, monkeypatch):
     met = jaccard._met
     monkeypatch.setattr(jaccard, "_met", lambda docs, buckets: seen.append(buckets) or met(docs, buckets))
     assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=str) == wide and seen[0] > 3 * 3
+
+
+def joined_on_shingles(spark):
+    """Rows that joins on shingles have made so far in this session."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[t#\d+L?\], \[t#\d+L?\], Inner", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made
+
+
+def test_sets_with_the_same_shingles_dont_multiply(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 64)
+    monkeypatch.setattr(jaccard, "ASKING", 100)
+    rng = random.Random(9)
+    sets = [frozenset(rng.sample(range(40), rng.randint(28, 32))) for _ in range(500)] + [frozenset(range(1000 + 30 * i, 1030 + 30 * i)) | {1} for i in range(5)]
+    of = Counter(t for s in sets for t in s)
+    left = spark.createDataFrame([(i, len(s), i, [(of[t], t) for t in s]) for i, s in enumerate(sets)], "sig long, n long, comp long, open array<struct<sets: long, t: long>>")
+    before = joined_on_shingles(spark)
+    edges = [tuple(r) for r in jaccard._exact_links(left).collect()]
+    made = joined_on_shingles(spark) - before
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in edges)
+    want, got = _graph.Union(len(sets)), _graph.Union(len(sets))
+    for a, b in edges:
+        got.join(a, b)
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if 100 * len(x & sets[b]) >= 75 * len(x | sets[b]):
+                want.join(a, b)
+    assert got.roots().tolist() == want.roots().tolist() and 1 < len(set(want.roots().tolist())) < len(sets)
+    assert 0 < made < 5 * len(sets)
