@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import tiktoken
@@ -25,6 +26,8 @@ PLAIN = 0x2100
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHARS_A_SLICE = 1 << 17
 MOST_KEPT = 750_000
+#: Slots of the store's hash table, a power of two: more than two for each pre-token.
+SLOTS = 1 << 21
 
 
 def _classes() -> np.ndarray:
@@ -68,12 +71,13 @@ class BatchBPE:
             self.pieces[i] = piece
         self.widths = self.token_bytes.tolist()
 
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.checks = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+    def _forget(self, coming: int = 0) -> None:
+        """Empty the store; a text of very many pre-tokens has a larger table."""
+        self.kept = self.used = 0
+        self.slots = np.full(max(SLOTS, 1 << (2 * coming).bit_length()), -1, dtype=np.int32)
+        self.keys, self.checks = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint64)
+        self.at, self.n = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.flat = np.zeros(4096, dtype=np.uint32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -143,25 +147,54 @@ class BatchBPE:
 
     def _look_up(self, joined: str, hashes: np.ndarray, check: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Row of each pre-token in the store; encodes what isn't there yet."""
-        uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(uniq) > MOST_KEPT:
-            self._forget()
-        pos = np.searchsorted(self.keys, uniq)
-        known = pos < len(self.keys)
-        known[known] = self.keys[pos[known]] == uniq[known]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            words = [joined[a:b] for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
+        row = self._find(hashes)
+        if (missing := np.flatnonzero(row < 0)).size:
+            new, where = np.unique(hashes[missing], return_index=True)
+            if self.kept + len(new) > MOST_KEPT:
+                missing = np.arange(len(hashes))
+                new, where = np.unique(hashes, return_index=True)
+                self._forget(len(new))
+            where = missing[where]
+            words = [joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
             encoded = [self.encoding._core_bpe.encode_single_piece(w.encode()) for w in words]
             n = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-            at = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate((self.flat, np.fromiter((i for e in encoded for i in e), dtype=np.uint32, count=int(n.sum()))))
-            keys = np.concatenate((self.keys, uniq[new]))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.n = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
-            self.checks = np.concatenate((self.checks, check[where[new]]))[order]
-            pos = np.searchsorted(self.keys, uniq)
-        return pos[back]
+            ids = np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(n.sum()))
+            old, self.kept = self.kept, self.kept + len(new)
+            self.keys, self.checks, self.at, self.n = (_added(x, old, more) for x, more in ((self.keys, new), (self.checks, check[where]), (self.at, self.used + np.cumsum(n) - n), (self.n, n)))
+            self.flat, self.used = _added(self.flat, self.used, ids), self.used + len(ids)
+            self._enter(new, np.arange(old, self.kept, dtype=np.int32))
+            row[missing] = self._find(hashes[missing])
+        return row
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash in the store, -1 where it has none: a hash is in the first slot after its own that is free of others."""
+        last = len(self.slots) - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
+        row = self.slots[slot]
+        other = np.flatnonzero((self.keys[row] != hashes) & (row >= 0))
+        while other.size:
+            slot[other] = (slot[other] + 1) & last
+            row[other] = self.slots[slot[other]]
+            other = other[(self.keys[row[other]] != hashes[other]) & (row[other] >= 0)]
+        return row
+
+    def _enter(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Slots for hashes that have none; of several that want one, one gets it and the others go on."""
+        last = len(self.slots) - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
+        while rows.size:
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rows[free]
+            left = self.slots[slot] != rows
+            slot, rows = (slot[left] + 1) & last, rows[left]
+
+
+def _added(store: np.ndarray, upto: int, more: np.ndarray) -> np.ndarray:
+    """``store`` with ``more`` from ``upto`` on; it doubles when it is full, so that it is seldom copied."""
+    if upto + len(more) > len(store):
+        store = np.concatenate((store[:upto], np.zeros(max(upto, 2 * len(more)), dtype=store.dtype)))
+    store[upto : upto + len(more)] = more
+    return store
 
 
 def encoder(path: str, pattern: str) -> BatchBPE:

@@ -55,3 +55,24 @@ def test_a_worker_holds_one_encoder(monkeypatch):
     assert _bpe.encoder(RANKS, PATTERN) is first
     assert _common.held(None) is None and not _common._held
     assert _bpe.encoder(RANKS, PATTERN) is not first and hashlib.sha256(_bpe.encoder(RANKS, PATTERN).encode(["a b"])[0].tobytes()).hexdigest()
+
+
+def test_few_new_words_leave_the_store_in_place(library):
+    bpe = _bpe.BatchBPE(_bpe.ranks_from_tiktoken(RANKS), PATTERN)
+    bpe.encode([" ".join(f"w{i}x{i * 7}" for i in range(20_000))])
+    before = bpe.keys, bpe.checks, bpe.at, bpe.n, bpe.flat
+    for i in range(30):
+        text = f"new{i}q w{i}x{i * 7} unseen{i * i}"
+        assert bpe.encode([text])[0].tolist() == library.encode_ordinary(text)
+    assert all(x is y for x, y in zip(before, (bpe.keys, bpe.checks, bpe.at, bpe.n, bpe.flat), strict=True))
+
+
+@pytest.mark.parametrize("slots,kept", [(64, 30), (1 << 12, 100), (1 << 12, 1500)])
+def test_a_small_store_is_emptied_and_goes_on(monkeypatch, library, slots, kept):
+    monkeypatch.setattr(_bpe, "SLOTS", slots, raising=False)
+    monkeypatch.setattr(_bpe, "MOST_KEPT", kept)
+    bpe = _bpe.BatchBPE(_bpe.ranks_from_tiktoken(RANKS), PATTERN)
+    rng = random.Random(3)
+    for size in (5, 20, 3, 3000, 4, 25, 25, 25, 400, 400):
+        texts = [" ".join(rng.choice("abcdeé") * rng.randint(1, 4) + str(rng.randint(0, 2000)) for _ in range(size)) for _ in range(2)] + ["", None]
+        assert [x.tolist() for x in bpe.encode(texts)] == [library.encode_ordinary(t or "") for t in texts]
