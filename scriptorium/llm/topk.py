@@ -9,6 +9,9 @@ which includes the k best of earlier blocks, are closed for good. When that sum
 qualify, and reading stops as soon as few candidates are open; only these are resolved to final scores. Where the bounds don't close
 the lists are read to their end, which is the final score, so results are exact for any data.
 
+Queries whose lists pull about evenly gain little from depths of their own: they read together, every list as deep for all of them, so
+that a block's entries are read once for many queries, and stop each by its own bounds.
+
 Blocks of queries meet blocks of candidates by an equi-join on block numbers; each group of candidate
 blocks passes on k rows a query. Nothing is broadcast.
 
@@ -38,6 +41,8 @@ HELD = 32
 STEPS = 12
 #: Open candidates, for each of the k, at which reading stops and final scores are resolved.
 RESOLVED = 6
+#: Evenness of a query's lists from which on it reads together with others, and how many queries do.
+EVEN, TOGETHER = 0.4, 512
 PACKED = "block long, dims int, ids binary, data binary"
 
 
@@ -146,13 +151,84 @@ def search(lists: Lists, query: np.ndarray, out: np.ndarray, floor: float, k: in
             return open_, lists.x[open_] @ query, read, len(open_)
 
 
+def evenness(lists: Lists, queries: np.ndarray) -> np.ndarray:
+    """Of each query, how evenly its lists pull: 1 where all pull alike, 1 / dims where one does; 0 where none does."""
+    pull = np.abs(queries) * spreads(lists)
+    squares = pull.shape[1] * (pull**2).sum(axis=1)
+    return np.where(squares > 0, pull.sum(axis=1) ** 2 / np.where(squares > 0, squares, 1), 0)
+
+
+def spreads(lists: Lists) -> np.ndarray:
+    values = lists.values.reshape(lists.dims, lists.n)
+    return values[:, 0] - values[:, -1]
+
+
+def search_together(lists: Lists, queries: np.ndarray, out: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(query, and what search gives of it) of each of ``queries``, which read the lists in step: every list as deep from the top, for positive
+    components, as from the bottom, for negative ones. What is read is kept once for all of them, and all bounds of a step are two products of
+    matrices; a query stops as soon as its own bounds close. ``out`` has a row for each query."""
+    n, d = lists.n, lists.dims
+    values, order, spread = lists.values.reshape(d, n), lists.rows.reshape(d, n), spreads(lists)
+    # Integers below 2 ** 24 are exact in single precision, in whatever order they are added up.
+    whole = np.abs(queries).max(axis=0) @ np.abs(values[:, [0, -1]]).max(axis=1) < 2**24
+    kind = np.float32 if whole and (queries == np.floor(queries)).all() and (values == np.floor(values)).all() else np.float64
+    both = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1).astype(kind)
+    front = np.concatenate((values[:, 0], values[:, -1])).astype(kind)
+    far = np.concatenate((front[d:], front[:d]))
+    high, low, unread = np.tile(front, (n, 1)), np.tile(far, (n, 1)), np.ones((n, 2 * d), dtype=bool)
+    weight = np.abs(queries)
+    weight = weight / (weight @ spread)[:, None]
+    depth, alive, floor, step = np.zeros(d, dtype=np.int64), np.arange(len(queries)), floors.astype(np.float64), n * d / STEPS
+    bounded = np.isfinite(floor)
+    while len(alive):
+        share = np.where(depth < n, weight[alive].mean(axis=0) * spread, 0)
+        if not share.any():  # what is not read is the same for all
+            scores = both[alive] @ high.T
+            for a, q in enumerate(alive.tolist()):
+                rows = np.flatnonzero(~out[q])
+                yield q, rows, scores[a, rows].astype(np.float64), int(depth[queries[q] != 0].sum()), 0
+            return
+        take = np.minimum(n - depth, np.ceil(step * share / share.sum()).astype(np.int64))
+        column, place = np.repeat(np.arange(d), take), ragged(depth, take)
+        for at, to in ((place, column), (n - 1 - place, column + d)):
+            rows = order[column, at]
+            high[rows, to] = low[rows, to] = values[column, at]
+            unread[rows, to] = False
+        depth += take
+        at = np.maximum(depth, 1) - 1
+        front = np.concatenate((values[np.arange(d), at], values[np.arange(d), n - 1 - at])).astype(kind)
+        np.copyto(high, front, where=unread)
+        # A floor of earlier blocks is seldom raised before the bounds close, and one that isn't raised holds as well.
+        raising = np.flatnonzero(~bounded[alive])
+        if len(raising) and n >= k:
+            lower = both[alive[raising]] @ low.T
+            lower[out[alive[raising]]] = -np.inf
+            floor[alive[raising]] = np.maximum(floor[alive[raising]], np.partition(lower, n - k, axis=1)[:, n - k])
+        own = floor[alive]
+        open_ = both[alive] @ high.T >= own[:, None]
+        open_ &= ~out[alive]
+        done = (open_.sum(axis=1) <= RESOLVED * k) & (both[alive] @ front < own)
+        for a in np.flatnonzero(done).tolist():
+            q, rows = int(alive[a]), np.flatnonzero(open_[a])
+            yield q, rows, lists.x[rows] @ queries[q], int(depth[queries[q] != 0].sum()), len(rows)
+        alive = alive[~done]
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
-    """Merge a block's candidates into ``best``, with the entries that were read."""
+    """Merge a block's candidates into ``best``, with the entries that were read. Queries whose lists pull evenly read them together, others
+    each to its own depths."""
     if not len(x):
         return
     lists = Lists(x)
-    for i, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        rows, scores, read, resolved = search(lists, q, ids == own, best.score[i, -1], best.k)
+    even = evenness(lists, queries) >= EVEN
+    for lo in range(0, len(queries), TOGETHER):
+        some = lo + np.flatnonzero(even[lo : lo + TOGETHER])
+        if len(some):
+            for q, rows, scores, read, resolved in search_together(lists, queries[some], query_ids[some][:, None] == ids, best.score[some, -1], best.k):
+                best.add(some[q], scores, ids[rows])
+                best.read[some[q]] += (read, resolved, x.size)
+    for i in np.flatnonzero(~even).tolist():
+        rows, scores, read, resolved = search(lists, queries[i], ids == query_ids[i], best.score[i, -1], best.k)
         best.add(i, scores, ids[rows])
         best.read[i] += (read, resolved, x.size)
 

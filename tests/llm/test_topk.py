@@ -69,3 +69,21 @@ def test_how_far_was_read_is_told(spark):
     assert all(0 < r.read_share < 1 and r.resolved > 0 for r in got) and np.median([r.read_share for r in got]) < 0.4
     empty = topk.top_k(spark.createDataFrame([(0, []), (1, []), (50, [])], "vec_id long, embedding array<double>")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score, r.read_share) for r in empty) == [(0, 1, 1, 0, 0.0), (0, 2, 50, 0, 0.0), (50, 1, 0, 0, 0.0), (50, 2, 1, 0, 0.0)]
+
+
+@pytest.mark.parametrize("scale", [1, 10**5])
+def test_even_queries_read_together(monkeypatch, scale):
+    alone, inner = [], topk.search
+    monkeypatch.setattr(topk, "search", lambda lists, query, *rest: alone.append(query) or inner(lists, query, *rest))
+    monkeypatch.setattr(topk, "TOGETHER", 50, raising=False)
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(1500, 24)) * 80) * scale
+    x[::50, 3:] = 0  # of these queries few lists matter
+    x[100:200] = x[200:300]
+    ids = rng.permutation(1500)
+    ids[700:720] = ids[0:20]  # candidates that share a query's id
+    asked = np.arange(0, 1500, 10)
+    rows, read = found(x, ids, asked, 400)
+    assert rows == [brute(x, ids, q, 5) for q in asked]
+    assert (read[:, 0] < read[:, 2]).all()
+    assert 0 < len(alone) < 4 * len(asked) / 2
