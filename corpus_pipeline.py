@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import jaccard, language, packing_concat, quality
-from scriptorium.llm._common import free_prefix, fresh, written
+from scriptorium.llm._common import free_prefix, fresh, give_back, written
 
 #: A document's language must be at least so sure.
 SURE = 0.5
@@ -26,6 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents go that have no letters to tell a language by, that are in none of the languages, or have none surer than SURE.
     A document's own ``lang`` is no evidence, as the text model learns from that column."""
     model = language.fit(*language.training_rows(docs))
+    give_back()
     out = free_prefix(docs, "_language_")
     found = language.identify(docs, model, F.col("text"), F.lit(None), F.col("source"), out=out)
     return found.where(F.col(f"{out}text_id").isNotNull() & (F.col(f"{out}id") != language.OTHER) & (F.col(f"{out}confidence") >= SURE)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -118,6 +118,15 @@ def _be_lean() -> None:
             pass
 
 
+def give_back() -> None:
+    """Give what is freed back to the system. The driver does so after a fit, as its Python and its JVM share a limit."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it keeps the pages
+        pass
+
+
 def held(key: Hashable, make: Callable[[], Any] | None = None) -> Any:
     """What ``make`` gives, kept by the Python worker for its next tasks; every task asks first. One object is kept at a time:
     asking for another, or for none, frees the last one."""
@@ -125,11 +134,7 @@ def held(key: Hashable, make: Callable[[], Any] | None = None) -> Any:
     if key not in _held:
         if _held:
             _held.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass
+            give_back()
         if make is None:
             return None
         _held[key] = make()
@@ -143,10 +148,13 @@ MOST_HOT, LEAST_HOT = 2000, 2000
 def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` (left) with the columns of ``groups``, which has a row for each ``key`` and in ``size`` how many of the ``total`` rows have
     it. Keys of more than one in MOST_HOT of all rows, so MOST_HOT of them at most, are broadcast, and their rows are dealt
-    out evenly instead of meeting in one task."""
+    out evenly instead of meeting in one task. Where all rows together are too few for such a key, nothing is broadcast."""
     others = [c for c in groups.columns if c not in (key, size)]
     limit = max(LEAST_HOT, total // MOST_HOT)
     hot, cold = free_prefix(rows, "_hot"), free_prefix(rows, "_cold")
+    if total <= limit:
+        found = groups.select(F.col(key).alias(f"{cold}_key"), F.struct(*others).alias(cold))
+        return rows.join(found, F.col(key) == F.col(f"{cold}_key"), "left").select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(cold)[c].alias(c) for c in others])
     many = groups.where(F.col(size) > limit).select(F.col(key).alias(f"{hot}_key"), F.struct(*others).alias(hot))
     few = groups.where(F.col(size) <= limit).select(F.col(key).alias(f"{cold}_key"), F.lit(-1).cast("long").alias(f"{cold}_number"), F.struct(*others).alias(cold))
     marked = rows.join(F.broadcast(many), F.col(key) == F.col(f"{hot}_key"), "left")

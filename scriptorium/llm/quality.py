@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, bounded_texts, by_texts, fresh, held, mix, slices
+from ._common import bound_batches, bounded_texts, by_texts, fresh, give_back, held, mix, slices
 from ._words import Words, words
 
 DIM = 64
@@ -102,8 +102,10 @@ def context_vectors(texts: list[str | None]) -> np.ndarray:
             continue
         terms, row = _terms(w), (w.words % np.uint64(ROWS)).astype(np.int64)
         near = w.doc[1:] == w.doc[:-1]
-        out += index_vectors(terms[1:][near], row[:-1][near], ROWS) + index_vectors(terms[:-1][near], row[1:][near], ROWS)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)).astype(np.float32)
+        out += index_vectors(terms[1:][near], row[:-1][near], ROWS)
+        out += index_vectors(terms[:-1][near], row[1:][near], ROWS)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+    return out.astype(np.float32)
 
 
 def fit(texts: list[str | None], y: np.ndarray, seed: int = 7, epochs: int = 60) -> Model:
@@ -171,4 +173,6 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
-    return scored(docs, fit(*training_rows(docs, labels, rows)), name)
+    model = fit(*training_rows(docs, labels, rows))
+    give_back()
+    return scored(docs, model, name)

@@ -27,6 +27,12 @@ def test_join_by_group(spark, monkeypatch, least):
     assert sorted((r.i, r.k, r.a, r.b) for r in got.collect()) == sorted((i, k, *named.get(k, (None, None))) for k, i in rows)
 
 
+def test_join_by_group_of_few_rows_has_one_join(spark):
+    rows, groups = spark.range(300).select((F.col("id") % 7).alias("k"), F.col("id").alias("i")), spark.range(7).select(F.col("id").alias("k"), (F.col("id") + 43).alias("of"), F.lit("a").alias("a"))
+    joins = [_common.joined_by_group(rows, groups, "k", "of", total)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for total in (300, _common.LEAST_HOT, _common.LEAST_HOT + 1)]
+    assert joins == [1, 1, 2]
+
+
 def test_components_with_one_huge_parent(spark, monkeypatch):
     monkeypatch.setattr(_common, "LEAST_HOT", 3)
     rng = random.Random(2)

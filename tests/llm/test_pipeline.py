@@ -1,5 +1,7 @@
 """What each stage of the pipeline does to odd rows, and the pipeline as it is registered."""
 
+import gc
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -7,6 +9,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scriptorium.llm import quality
 
 CLASH = ("_language_id", "_language_text", "_quality_score", "_id", "_sig", "_component", "score", "text_id")
 
@@ -62,3 +65,22 @@ def test_registered_pipeline(spark):
             upto += n
         assert upto <= 1024
     assert {r.doc_id for r in rows} <= {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+
+
+def test_driver_gives_back_what_fits_held(spark, table, monkeypatch):
+    calls, collect = [], gc.collect
+    monkeypatch.setattr(gc, "collect", lambda *a: calls.append(1) or collect(*a))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        before = len(calls)
+        stage(spark, table[1], str(DATA))
+        assert len(calls) > before
+
+
+def test_context_vectors_hold_few_tables_at_a_time():
+    texts = ["one two three four five"] * 50
+    quality.context_vectors(texts)
+    tracemalloc.start()
+    quality.context_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * quality.ROWS * quality.DIM * 8
