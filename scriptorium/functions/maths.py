@@ -34,6 +34,12 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def sql_round(x: Column, digits: int = 6) -> Column:
+    """Rounding as DuckDB's: of the double ``x`` times a power of ten, halves away from zero. F.round goes by the printed digits instead."""
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < math.inf, F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 def linspace(low: Column, high: Column, steps: Column) -> Column:
     """M1: values rounded to three decimals; none for no steps, ``low`` for one."""
     at = lambda i: half_up((low + (high - low) / F.greatest(steps - 1, F.lit(1)) * i) * 1000) / 1000

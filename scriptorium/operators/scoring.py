@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.maths import clamp, least
+from ..functions.maths import clamp, least, sql_round
+from .sequences import MOST_GROUPS, matched
 
 # Weights, bounds and limits of the robust score.
 CER_WEIGHT, WER_WEIGHT, CAP = 0.6, 0.4, 2.5
@@ -51,6 +52,28 @@ def robust_score(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("score", F.when(F.col("n") == 0, NO_ROWS).otherwise(score + F.when(F.col("feasible"), 0.0).otherwise(INFEASIBLE)))
 
 
+def rounded_means(rows: DataFrame, by: list[str], values: list[str], position: dict[str, Column], digits: int = 6) -> DataFrame:
+    """A1: means of doubles, rounded as if each group's values were added up one by one by ``position`` (new names and their columns).
+    Groups are summed in any order first; only those with a mean so near to half a last digit that the order may decide it are sorted
+    and summed again."""
+    found = rows.groupBy(*by).agg(*[c for v in values for c in (F.avg(v).alias(v), F.avg(F.abs(F.col(v))).alias(f"_abs_{v}"), F.count(v).alias(f"_n_{v}"))])
+    near = F.lit(False)
+    for v in values:
+        # Two orders of n doubles differ by 2n roundings of at most 2^-53 of the sum of magnitudes; this is twice that, and some for the quotient.
+        scaled, slack = F.col(v) * 10.0**digits, F.col(f"_abs_{v}") * 10.0**digits * (F.col(f"_n_{v}") + 8) * 2.0**-51
+        near = near | F.coalesce(F.abs(F.abs(scaled) % 1.0 - 0.5) <= slack, F.lit(False))
+    upto = Window.partitionBy(*by).orderBy(*position).rowsBetween(Window.unboundedPreceding, 0)
+    sums = matched(rows.select(*by, *values, *[c.alias(p) for p, c in position.items()]), found.where(near).select(*by), by).select(*by, F.struct(*position).alias("_at"), *[F.sum(v).over(upto).alias(v) for v in values])
+    sums = sums.groupBy(*by).agg(F.max_by(F.struct(*values), "_at").alias("_sums")).select(*[F.col(k).alias(f"_key_{k}") for k in by], "_sums")
+    few = sums.limit(MOST_GROUPS + 1).collect()  # as a table of their own they aren't summed again by each later job
+    sums = F.broadcast(rows.sparkSession.createDataFrame(few, sums.schema)) if len(few) <= MOST_GROUPS else sums
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = F.col(k).eqNullSafe(F.col(f"_key_{k}")) if not i else on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    both = found.join(sums, on, "left")
+    return both.select(*by, *[sql_round(F.coalesce(F.col(f"_sums.{v}") / F.col(f"_n_{v}"), F.col(v)), digits).alias(v) for v in values])
+
+
 def worst_first(by: list[str], value: str, position: list[str]) -> Column:
     """1 for a group's worst row; ties go to the earlier position."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), *position))

@@ -16,21 +16,22 @@ MOST_GROUPS = 10_000
 PLACE, RANGE = "_range_place", "_range"
 
 
-def in_ranges(rows: DataFrame, by: str, parts: int | None = None) -> DataFrame:
-    """``rows`` with a number RANGE that never falls as ``by`` grows (nulls come first, as in a sort), cut at quantiles, so that a sort of
-    few large groups is many sorts of ranges. Equal values share a range."""
+def in_ranges(rows: DataFrame, by: str, parts: int | None = None, nulls_last: bool = False) -> DataFrame:
+    """``rows`` with a number RANGE that never falls as ``by`` grows (nulls come first, as in a sort, or last), cut at quantiles, so that a
+    sort of few large groups is many sorts of ranges. Equal values share a range."""
     parts = parts or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     value = (F.unix_micros(F.col(by).cast("timestamp")) if dict(rows.dtypes)[by].startswith("timestamp") else F.col(by)).cast("double")
     cuts = rows.select(value.alias("v")).where("v is not null").approxQuantile("v", [i / parts for i in range(1, parts)], 0.01)
     cuts = sorted(set(cuts))
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
-    return rows.withColumn(RANGE, F.when(F.col(by).isNull(), -1).otherwise(above))
+    return rows.withColumn(RANGE, F.when(F.col(by).isNull(), len(cuts) + 1 if nulls_last else -1).otherwise(above))
 
 
-def ranked_in_ranges(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", parts: int | None = None) -> DataFrame:
+def ranked_in_ranges(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", parts: int | None = None, nulls_last: bool = False) -> DataFrame:
     """W1 for few or huge groups: as ``ranked``, with rows sorted in ranges of the first of ``order`` (a rising numeric column) and each
-    range's place in its group from the counts of those before it."""
-    placed = rows if RANGE in rows.columns else in_ranges(rows, order[0], parts)
+    range's place in its group from the counts of those before it. With ``nulls_last`` nulls end each of ``order`` (all names), as in SQL."""
+    placed = rows if RANGE in rows.columns else in_ranges(rows, order[0], parts, nulls_last)
+    order = [F.asc_nulls_last(c) for c in order] if nulls_last else order
     before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*by, RANGE).agg(F.count("*").alias("n")).select(*by, RANGE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(PLACE))
     joined = matched(placed, offsets, [*by, RANGE])

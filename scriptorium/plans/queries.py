@@ -129,8 +129,9 @@ def drop_worst_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {METRICS}, a AS (SELECT run, avg(wer) AS wer, avg(cer) AS cer FROM m GROUP BY run)
 SELECT run, round(wer, 6) AS wer, round(cer, 6) AS cer, (row_number() OVER (ORDER BY round(wer, 6), run))::INTEGER AS rank FROM a""")
 def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Runs by mean wer, ties by number."""
-    return sequences.ranked_in_ranges(_metrics(spark, d).groupBy("run").agg(F.round(F.avg("wer"), 6).alias("wer"), F.round(F.avg("cer"), 6).alias("cer")), [], ["wer", "run"])
+    """Runs by mean wer, ties by number, nulls last. Sums that decide a last digit go in stored order, as SQL's on one thread."""
+    stored = {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    return sequences.ranked_in_ranges(scoring.rounded_means(_metrics(spark, d), ["run"], ["wer", "cer"], stored), [], ["wer", "run"], nulls_last=True)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
